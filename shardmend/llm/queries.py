@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, pii, quality, simhash, toxicity, warc
+from . import ann, bpe, decontaminate, langid, pii, quality, simhash, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -52,6 +52,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(docs, tokenizer_path(), digests_only=True).select("doc_id", "bpe.*")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_ann": op6_ann,
     "op7_bpe": op7_bpe,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
@@ -83,6 +88,32 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM f""",
+    # every item-sized window of every document against every item of which it has enough shingles
+    "op8_decontaminate": r"""
+        WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+             iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+             i0 AS (SELECT item_id, w, len(w) AS m, least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+             dp AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM dw),
+             dl AS (SELECT *, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 4) OVER o AS x4
+                    FROM dp WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+             ds AS (SELECT doc_id, n, k, pos, CASE k WHEN 1 THEN x WHEN 2 THEN x || ' ' || x1 WHEN 3 THEN x || ' ' || x1 || ' ' || x2
+                                             WHEN 4 THEN x || ' ' || x1 || ' ' || x2 || ' ' || x3
+                                             ELSE x || ' ' || x1 || ' ' || x2 || ' ' || x3 || ' ' || x4 END AS s
+                    FROM dl, (SELECT DISTINCT k FROM i0) ks),
+             ip AS (SELECT item_id, m, k, w, unnest(range(0, m - k + 1)) AS pos FROM i0),
+             isr AS (SELECT item_id, m, k, array_to_string(w[pos + 1:pos + k], ' ') AS s FROM ip),
+             ic AS (SELECT item_id, m, k, s, count(*) AS c FROM isr GROUP BY ALL),
+             hits AS (SELECT d.doc_id, d.n, d.pos, d.s, i.item_id, i.m, i.k, i.c FROM ds d JOIN ic i ON d.s = i.s AND d.k = i.k),
+             pairs AS (SELECT doc_id, item_id, n, m, k FROM hits GROUP BY ALL HAVING 9 * count(*) >= 4 * (least(n, m) + m - 2 * k + 2)),
+             win AS (SELECT doc_id, item_id, n, m, k, unnest(range(0, greatest(0, n - m) + 1)) AS start FROM pairs),
+             cnt AS (SELECT w.doc_id, w.item_id, w.n, w.m, w.k, w.start, h.s, least(count(*), any_value(h.c)) AS c
+                     FROM win w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id AND h.pos BETWEEN w.start AND w.start + least(w.n, w.m) - w.k
+                     GROUP BY ALL),
+             hit AS (SELECT doc_id, item_id, n, m, k, start, sum(c)::BIGINT AS common FROM cnt GROUP BY ALL),
+             sim AS (SELECT doc_id, item_id, m, start, common / (least(n, m) + m - 2 * k + 2 - common)::DOUBLE AS similarity
+                     FROM hit WHERE 9 * common >= 4 * (least(n, m) + m - 2 * k + 2)),
+             r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start DESC) AS r FROM sim)
+        SELECT doc_id, item_id, similarity, start AS start_word, m AS n_words FROM r WHERE r = 1""",
     "op6_ann": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
