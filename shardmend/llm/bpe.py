@@ -188,26 +188,31 @@ def _model(key: str, tables) -> ByteBpe:
     return _ready[key]
 
 
-def encode_column(docs: DataFrame, tokenizer_path: str, text: str = "text", digests_only: bool = False) -> DataFrame:
-    """docs with a struct column `bpe`: n_tokens, ids_sha256, decoded_sha256 and, unless digests_only, ids and decoded.
+#: What encode_column can return of a text.
+FIELDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
+
+
+def encode_column(docs: DataFrame, tokenizer_path: str, text: str = "text", fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """docs with a struct column `bpe` of the fields asked for.
 
     The column takes another name (leading underscores) where docs already has a `bpe`.
     """
     spark = docs.sparkSession
     small_batches(spark)
     tables = spark.sparkContext.broadcast(load_tables(tokenizer_path))
-    full = "" if digests_only else ", ids array<int>, decoded string"
 
-    @F.pandas_udf(f"n_tokens long, ids_sha256 string, decoded_sha256 string{full}")
+    @F.pandas_udf(", ".join(f"{f} {FIELDS[f]}" for f in fields))
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = _model(tokenizer_path, tables)
+        make = {
+            "n_tokens": lambda ids: len(ids) // 4,
+            "ids_sha256": lambda ids: hashlib.sha256(ids).hexdigest(),
+            "decoded_sha256": lambda ids: hashlib.sha256(bpe.decode(ids)).hexdigest(),
+            "ids": lambda ids: np.frombuffer(ids, "<i4"),
+            "decoded": lambda ids: bpe.decode(ids).decode(),
+        }
         for texts in batches:
-            rows = []
-            for t in texts:
-                ids = bpe.encode(t or "")
-                back = bpe.decode(ids)
-                row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append(row if digests_only else (*row, np.frombuffer(ids, "<i4"), back.decode()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *([] if digests_only else ["ids", "decoded"])])
+            coded = [bpe.encode(t or "") for t in texts]
+            yield pd.DataFrame({f: pd.Series([make[f](ids) for ids in coded], dtype="int64" if f == "n_tokens" else object) for f in fields})
 
     return docs.withColumn(spare_name(docs, "bpe"), encoded(F.col(text)))

@@ -7,15 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, pii, quality, simhash, toxicity, warc
+from . import ann, bpe, decontaminate, htmltext, langid, pii, quality, simhash, toxicity, warc
 from .common import crc_of_id, table
+from .stages import tokenizer_path
 
 
-def tokenizer_path() -> str:
-    """Where the public vocabulary file is on the driver's machine; a parameter of the operator."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_column(docs, tokenizer_path(), digests_only=True).select("doc_id", "bpe.*")
+    return bpe.encode_column(docs, tokenizer_path(), fields=("n_tokens", "ids_sha256", "decoded_sha256")).select("doc_id", "bpe.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
