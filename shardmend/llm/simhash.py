@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, spare_name
+from .common import materialize, small_batches
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Blocks of the 64 bits for a radius: enough that radius + 2 or more blocks make selective keys.
@@ -35,6 +35,8 @@ BLOCKS = {3: 5, 4: 6, 5: 8, 6: 9}
 #: A key with about this many fingerprints is split; one row in SAMPLE is counted to find such keys.
 SPLIT_AT, SAMPLE = 1024, 16
 LEAF = 64
+#: Ids up to which a list of dropped documents is broadcast.
+BROADCAST_ROWS = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -260,25 +262,30 @@ def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     names = roots.join(firsts, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(names, "root").select("fp", "component_id")
     named = firsts.join(named, "fp", "left").select(F.col("fp").alias("fp_"), F.coalesce("component_id", "first_id").alias("component_id"))
-    # A fingerprint that many documents share is one row on the right; AQE splits its rows on the left.
+    # A fingerprint that many documents share is one row on the right; AQE splits its rows on the left,
+    # which it does only where both sides of the join are read right after their exchange.
+    named = materialize(named, "named")
     out = marked.join(named.hint("merge"), F.col("fp") == F.col("fp_"), "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each near-duplicate component: its smallest doc_id (of rows that repeat it, one). Documents without doc_id stay."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    found = classes(materialize(with_fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "fingerprints"), radius)
-    row, gone = spare_name(docs, "row"), "gone_id"
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone))
-    kept = docs.join(drop.distinct(), docs["doc_id"] == F.col(gone), "left_anti")
-    # Rows that repeat the kept doc_id: equal ids would both stay, so all but one of each id go.
-    twice = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone))
-    alone = kept.join(twice, docs["doc_id"] == F.col(gone), "left_anti")
-    again = kept.join(twice, docs["doc_id"] == F.col(gone), "left_semi").dropDuplicates(["doc_id"])
-    del row
-    return alone.unionByName(again)
+    marked = materialize(with_fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "fingerprints")
+    found = classes(marked, radius)
+    drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
+    # Rows that repeat a kept doc_id: all but one of them go, too.
+    twice = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
+    twice = materialize(twice.join(drop, "gone_id", "left_anti"), "repeated")
+    kept = docs.join(_sized(drop.union(twice)), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(_sized(twice), docs["doc_id"] == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """Broadcast if it has few rows (it reads written tables, so counting is cheap); else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def bits_for(similarity: float) -> int:
