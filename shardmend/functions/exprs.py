@@ -11,7 +11,7 @@ from .dims import ENGINE_FORMATS, ENGINE_SUFFIXES, FORMATS, SIGNATURES
 def signature_ord(content: Column, length: Column) -> Column:
     """Number of the first signature that the bytes carry; one that reaches past the bytes does not fire.
 
-    The signatures are a constant array that is filtered, so the expression stays small when a filter on its result is pushed down.
+    The signatures are a constant array that is looked through, so the expression stays small when a filter on its result is pushed down.
     """
     rows = [F.struct(F.lit(n).alias("n"), F.lit(at).alias("at"), F.lit(len(magic) // 2).alias("size"), F.lit(bytes.fromhex(magic)).alias("magic"), F.lit(least).alias("least")) for n, (_, at, magic, least, _) in enumerate(SIGNATURES, 1)]
 
@@ -19,12 +19,13 @@ def signature_ord(content: Column, length: Column) -> Column:
         at = F.when(s["at"] >= 0, s["at"]).otherwise((length + s["at"]).cast("int"))
         return (length >= s["least"]) & (at >= 0) & (at + s["size"] <= length) & (content.substr(at + 1, s["size"]) == s["magic"])
 
-    return F.get(F.filter(F.array(*rows), fires), F.lit(0))["n"]
+    return F.array_min(F.transform(F.array(*rows), lambda s: F.when(fires(s), s["n"])))
 
 
 def by_signature(ord_: Column, column: int) -> Column:
     """A column of the signature table (0 format, 4 provenance) for its number; null for none."""
-    return F.element_at(F.array(*[F.lit(s[column]) for s in SIGNATURES]), ord_)
+    # guarded: element_at of a null place gave the last element in compiled code
+    return F.when(ord_.isNotNull(), F.element_at(F.array(*[F.lit(s[column]) for s in SIGNATURES]), F.coalesce(ord_, F.lit(1))))
 
 
 def _by_suffix(name: Column, formats: list[tuple[str, str]]) -> Column:

@@ -53,7 +53,7 @@ def _zip(data: bytes, strict: bool) -> Iterator[tuple]:
     at = {e.offset: e for e in p.local}
     for e in p.central:
         name, where = e.name.decode("utf-8", "replace"), e.offset + p.base
-        local = at.get(where) or b.local_record(data, where)
+        local = b.local_record(data, where) if strict else at.get(where) or b.local_record(data, where)
         if local is None:
             yield "ZIP_LFH_001", name, where, where + 4, None
             continue

@@ -7,13 +7,14 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import bytesio, dims
 
 MAX_BLOCKS = 500_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: names need a session at import
 def sha3_512(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else hashlib.sha3_512(b).hexdigest())
 

@@ -125,5 +125,6 @@ def swapped_blocks(files: DataFrame, references: DataFrame, size: int = 512) ->
     blocks = lambda df, c: df.where(F.length(c) > 0).select("file_id", c, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length(c) - 1) / size))).alias("block")).select("file_id", "block", F.sha2(F.col(c).substr((F.col("block") * size + 1).cast("int"), F.lit(size)), 256).alias("h"))
     a, g = blocks(files, "content"), blocks(references, "reference")
     changed = a.join(g.withColumnRenamed("h", "g"), ["file_id", "block"]).where("h <> g")
-    other = changed.select("file_id", F.col("block").alias("from_block"), F.col("g").alias("_g"))
-    return changed.join(other, (changed.file_id == other.file_id) & (changed.h == F.col("_g")) & (changed.block != F.col("from_block"))).select(changed.file_id, "block", "from_block")
+    other = changed.select(F.col("file_id").alias("_f"), F.col("block").alias("from_block"), F.col("g").alias("_g"))
+    same = (F.col("file_id") == F.col("_f")) & (F.col("h") == F.col("_g")) & (F.col("block") != F.col("from_block"))
+    return changed.join(other, same).select("file_id", "block", "from_block")

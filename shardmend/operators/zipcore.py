@@ -230,7 +230,9 @@ def export(parts: DataFrame, provenance: str = "provenance") -> DataFrame:
         .when(~attested, "unattested")
     )
     rows = rows.withColumn("skipped", why).withColumnRenamed("_path", "path").drop("_first")
-    # Without a file over budget in sum, the fold has nothing to skip: prefix sums show those files.
-    w = Window.partitionBy("file_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.when(F.col("skipped").isNull(), n).otherwise(0)).over(w)
-    return rows.withColumn("skipped", F.when(F.col("skipped").isNull() & (total > EXPORT_BYTES), "over budget").otherwise(F.col("skipped")))
+    # First come, first fit: a part that does not fit takes nothing of the budget, so this is a fold over one file's parts, not a prefix sum.
+    fitting = rows.where("skipped IS NULL").groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", n.cast("long").alias("n")))).alias("p"))
+    fold = f"aggregate(p, named_struct('t', 0L, 'k', CAST(array() AS array<int>)), (a, x) -> CASE WHEN a.t + x.n <= {EXPORT_BYTES} THEN named_struct('t', a.t + x.n, 'k', array_append(a.k, x.ordinal)) ELSE a END, a -> a.k)"
+    fits = fitting.select(F.col("file_id").alias("_f"), F.explode(F.expr(fold)).alias("_o"))
+    rows = rows.join(fits, (F.col("file_id") == F.col("_f")) & (F.col("ordinal") == F.col("_o")), "left")
+    return rows.withColumn("skipped", F.when(F.col("skipped").isNull() & F.col("_o").isNull(), "over budget").otherwise(F.col("skipped"))).drop("_f", "_o")

@@ -335,7 +335,7 @@ def carve_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _findings(spark, sf_dir)
-    return relational.first_match(f, ["file_id"], F.struct("start", "seq"), ["rule_id", "start"])
+    return relational.first_match(f, ["file_id"], F.struct("start", "seq", "rule_id"), ["rule_id", "start"])
 
 
 QUERIES: dict[str, Query] = {
