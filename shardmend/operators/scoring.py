@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..functions.dims import EMIT_THRESHOLD, SEVERITY_RANK, rule_dim
+from ..functions.dims import EMIT_THRESHOLD, rule_dim
 from .relational import islands
 
 
@@ -151,6 +151,3 @@ def suppress_symptoms(findings: DataFrame) -> DataFrame:
     cut = findings.where(F.col("rule_id").contains("TRUNC")).select("file_id").distinct()
     symptom = F.col("rule_id").isin(*SYMPTOMS)
     return findings.where(~symptom).unionByName(findings.where(symptom).join(cut, "file_id", "left_anti"))
-
-
-assert set(SEVERITY_RANK) == {"Benign", "Minor", "Major", "Catastrophic"}

@@ -235,3 +235,17 @@ def test_stream(spark, tmp_path):
 def test_scoring_of_nothing(spark):
     none = spark.createDataFrame([], "file_id string, seq int, rule_id string, member string, start long, end long, confidence double")
     assert scoring.health(scoring.merge_adjacent(scoring.classify(none))).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from shardmend.__main__ import main
+
+    (tmp_path / "ok").mkdir()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "ok" / "a.zip").write_bytes(b.build_zip(MEMBERS))
+    t = b.build_tar(MEMBERS)
+    (tmp_path / "bad" / "a.tar").write_bytes(t[:-1024])
+    assert main([str(tmp_path / "ok")]) == 0
+    assert main([str(tmp_path / "bad"), "--output", str(tmp_path / "out")]) == 1
+    [r] = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert bytes(r.content) == t and r.output_path == f"{tmp_path}/out/a.tar.recovered"
