@@ -1,14 +1,16 @@
-"""Shared plumbing of the training-data operators: reading tables, shared-folder tables, bounded samples."""
+"""Shared plumbing of the training-data operators: reading tables, shared-folder tables (materialize), bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written as materialize
+
+__all__ = ["bounded_sample", "crc_of_id", "fit_in_one_task", "materialize", "small_batches", "spare_name", "table"]
+
 #: Rows of an Arrow batch: texts can be long, so a batch is kept to a few MB in the usual case.
 BATCH_ROWS = 500
 
@@ -23,27 +25,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="shardmend-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back.
-
-    The lineage ends there: later stages that lose an executor read the files again instead of
-    recomputing, and several readers share one computation. (Dataset.checkpoint() would compute twice.)
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shardmend/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spare_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, whatever extra columns it has."""
     taken = {c.lower() for c in df.columns}

@@ -25,8 +25,8 @@ from .common import materialize, spare_name
 SHINGLE_WORDS = 5
 #: Least similarity as a fraction, and differing bits allowed: 3.6 standard deviations above the mean distance of windows that are just similar enough.
 SIMILARITY, RADIUS = (4, 5), 20
-#: Rows of a table up to which it is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of a table up to which it is broadcast (they hold some hundred bytes each); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+', 0)"
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,7 +37,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TELLING = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -89,8 +89,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def zones(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens around those with a digit or an at sign, each with two tokens before and one after, trimmed of edge signs."""
-    spans, telling = [], []
+    """Runs of neighbouring tokens with a digit or an at sign, trimmed of edge signs."""
+    telling = []
     at = 0
     # only the neighbourhood of digits and at signs is split into tokens
     for m in _TELLING.finditer(text):
@@ -112,7 +112,6 @@ def zones(text: str) -> Iterator[list[tuple[int, int]]]:
         group.append(s)
     if group:
         yield _edges(text, group)
-    del spans
 
 
 def _edges(text: str, group: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -245,7 +244,7 @@ def all_spans(text: str | None, w: dict) -> tuple[list[tuple[str, int, int]], li
     taken = sorted((a, b) for _, a, b in base)
     added = []
     for tokens in zones(text):
-        free = [(a, b) for a, b in tokens if not any(x < b and a < y for x, y in taken if x < b)] if len(taken) < 50 else _free(tokens, taken)
+        free = _free(tokens, taken)
         if free and (len(free) > 1 or len(_digits(text[free[0][0] : free[0][1]])) > 5 or "@" in text[free[0][0] : free[0][1]]):
             # a segment may not run over a base span, so each run of free tokens is decoded alone
             run = [free[0]]
@@ -261,8 +260,6 @@ def all_spans(text: str | None, w: dict) -> tuple[list[tuple[str, int, int]], li
 
 def _free(tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Tokens that overlap no taken span; both lists are sorted."""
-    from bisect import bisect_left
-
     starts, tops, top = [x for x, _ in taken], [], 0
     for _, y in taken:
         top = max(top, y)

@@ -17,7 +17,6 @@ each get a row. Null doc_ids are never a component's name unless all its documen
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -287,8 +286,3 @@ def _sized(ids: DataFrame) -> DataFrame:
     """Broadcast if it has few rows (it reads written tables, so counting is cheap); else joined by a shuffle."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
-
-def bits_for(similarity: float) -> int:
-    """Differing bits expected of two texts whose shingle sets have this Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * math.acos(cosine) / math.pi)
