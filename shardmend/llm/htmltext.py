@@ -46,6 +46,7 @@ NOT_IN_P = frozenset("address article aside blockquote center details dialog dir
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup share sharing social breadcrumb breadcrumbs menu nav navbar navigation sidebar footer comment comments commentlist respond reply replies disqus related recommended recommendations popup modal overlay widget toolbar pagination pager login search banner paywall complementary contentinfo dialog".split()
 )
+COMMENTS = frozenset("comment comments commentlist reply replies".split())
 #: Words that mark an element as the article's, where no element says so by its name.
 GOOD = frozenset("article articlebody post entry story content text main body".split())
 SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist")), "tbody": ("tbody thead tfoot tr td th", ("table",)), "thead": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tfoot tr td th", ("table",))}
@@ -286,6 +287,8 @@ def content_root(elements: list[Element], blocks: list[tuple[Element, str]], tem
             continue
         label = e.path.rpartition(">")[2]
         rank = rank_of(label)
+        if e.tag == "article" and e.names & COMMENTS:
+            continue  # a reader's comment, however long
         if not rank or e.hidden or not volume.get(id(e)) or any(rank_of_mark(x) for x in e.path.split(">")):
             continue
         key = (rank, int(e.path[:400] == template.slot), volume[id(e)])

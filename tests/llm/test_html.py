@@ -30,6 +30,7 @@ def test_odd_pages():
         ("<ARTICLE><P>up</P></ARTICLE>", "up"),
         ("<article></article><div class=content><p>x</div>", "x"),
         ("<article><p hidden>h</p><p style='display:none'>n</p><p>s</p></article>", "s"),
+        ("<article><p>a</article><article class=comment><p>a much longer comment</article>", "a"),
         ("<article><p>one</div></p><p>two</article>", "one\n\ntwo"),
     ):
         assert htmltext.main_text(page) == want, page
