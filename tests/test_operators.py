@@ -249,3 +249,15 @@ def test_command_line(spark, tmp_path):
     assert main([str(tmp_path / "bad"), "--output", str(tmp_path / "out")]) == 1
     [r] = spark.read.parquet(str(tmp_path / "out")).collect()
     assert bytes(r.content) == t and r.output_path == f"{tmp_path}/out/a.tar.recovered"
+
+
+def test_field_values(spark):
+    from shardmend.functions import corpus
+    from shardmend.operators.fields import field_values
+
+    rows = [("a.zip", b.build_zip(MEMBERS)), ("b.tar", b.build_tar(MEMBERS)), ("c.gz", b.build_gzip(b"x" * 99)), ("d.db", corpus.build_sqlite()), ("e.iso", corpus.build_iso()), ("f.gz", b"\x1f\x8b\x09")]
+    got = {(r.file_id, r.field): (r.value, r.valid) for r in field_values(known(spark, *rows)).collect()}
+    assert got["a.zip", "LocalFileHeader.name_len"] == (6, True) and got["a.zip", "LocalFileHeader.uncompressed_size"] == (len(MEMBERS[0][1]), True)
+    assert got["b.tar", "UStarHeader.size"] == (len(MEMBERS[0][1]), True) and got["d.db", "sqlite.page_size"] == (4096, True)
+    assert got["e.iso", "PrimaryVolumeDescriptor.path_table_location"] == (18, True) and got["f.gz", "gzip.cm"] == (9, False)
+    assert ("f.gz", "gzip.mtime") not in got and all(valid for (f, _), (_, valid) in got.items() if f != "f.gz")
