@@ -27,7 +27,8 @@ from .common import bounded_sample, crc_of_id, fit_in_one_task, small_batches, s
 LABELLED_ROWS, UNLABELLED_ROWS, ROUNDS, GIVEN = 6000, 4000, 3, 300
 CONFIDENT = 0.95
 BITS = 18
-THRESHOLD = 0.5
+#: Below the even odds: losing a clean document costs more than keeping a poor one.
+THRESHOLD = 0.25
 MEMO_WORDS = 300_000
 _MASK = (1 << BITS) - 1
 
@@ -203,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unl
         got = []
         for pdf in batches:
             got += zip(pdf.doc_id, pdf.quality, *_views_of(pdf), strict=True)
-        got.sort(key=lambda r: (r[1], -1 if pd.isna(r[0]) else r[0], len(r[2]), r[2].tolist(), r[3].tolist()))
+        got.sort(key=lambda r: (r[1], -1 if pd.isna(r[0]) else r[0], r[2].tobytes(), r[3].tobytes()))
         y = np.array([r[1] for r in got], np.int64)
         if not {0, 1} <= {*y.tolist()}:
             return
