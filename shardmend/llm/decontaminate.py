@@ -134,7 +134,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark passage."""
-    bad = matches(docs, items).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct()
+    bad = materialize(matches(docs, items).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct(), "leaks")
     key = spare_name(docs, "text_key")
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed[key] == F.col("key_")), "left_anti").drop(key)
+    # leaks are few, as a rule: then no text is shuffled
+    return keyed.join(_sized(bad), keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed[key] == F.col("key_")), "left_anti").drop(key)
