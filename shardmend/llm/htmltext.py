@@ -7,11 +7,12 @@
    has. Tokens of one host with equal vectors form an equivalence class.
 3. Classes are valid if they have support and their tokens occur once on their pages; valid tokens
    nest by their paths into the host's template. The template's content slot is the token that holds
-   the article: by its tag, else by how much varying text it holds.
+   the article: by its tag or names, else by how much varying text it holds: the innermost slot that
+   has at least SLOT_SHARE of a page's varying text, in means over the pages of each slot's class.
 4. Extraction takes the blocks inside the page's content slot, without what is marked as menu, header,
    footer, sidebar, notice, advert, form, script, style or reader comment, and without slots whose text
-   is the same on all pages of a host (outside article and main elements). Pages without a slot of
-   their host's template choose their own.
+   is the same on all pages of a host (outside article and main elements). An element named as the
+   article's goes before the template's slot; pages with neither are taken whole.
 
 Null html is the empty text. Pages with null or odd urls share one nameless host. Rows are
 independent, so repeated rows each get their text.
@@ -34,6 +35,8 @@ from .common import materialize, small_batches, spare_name
 
 #: Share of a host's pages that a template token is on; pages on which equal text counts as the template's; hosts up to which templates are broadcast.
 SUPPORT, CONSTANT_PAGES, BROADCAST_HOSTS = 0.5, 5, 100_000
+#: Share of a page's varying text that a slot without a name of an article's must hold to be the content.
+SLOT_SHARE = 0.8
 
 # Names of HTML elements by how they are laid out or meant.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -220,7 +223,7 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     classes = materialize(classes.where("pages > 1"), "tokens")
     totals = classes.where("token = ''").select(F.col("host").alias("host_"), F.col("pages").alias("total"))
-    valid = classes.where("token <> ''").join(totals, F.col("host") == F.col("host_")).where((F.col("pages") >= SUPPORT * F.col("total")) & (F.col("once") >= 0.9 * F.col("pages")))
+    valid = classes.join(totals, F.col("host") == F.col("host_")).where((F.col("pages") >= SUPPORT * F.col("total")) & (F.col("once") >= 0.9 * F.col("pages")))
     # At most 1 / SUPPORT times the tokens of an average page are left of a host.
     row = F.struct("token", F.concat_ws("/", "pages", "vector").alias("class"), "chars", (F.col("same") & (F.col("pages") >= CONSTANT_PAGES)).alias("same"))
     return valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("template"))
@@ -243,12 +246,38 @@ class Template:
             while (p := p.rpartition(">")[0]) and p not in known:
                 pass
             self.parent[t] = p
-        best, self.slot = (0, 0), None
+        best, self.slot = (0, 0), self._varying_slot(rows)
         for r in rows:
             rank = rank_of(r["token"].rpartition(">")[2])
             if rank and not any(rank_of_mark(x) for x in r["token"].split(">")) and (rank, r["chars"]) > best and not r["same"]:
                 best, self.slot = (rank, r["chars"]), r["token"]
 
+    def _varying_slot(self, rows: list[dict]) -> str | None:
+        """The innermost token with SLOT_SHARE of the varying text of a page; None for the whole page."""
+        pages = {t: int(c.partition("/")[0]) for c, tokens in self.classes.items() for t in tokens}
+        varying = {r["token"]: r["chars"] for r in rows}
+        inner: dict[str, list[str]] = {}
+        for t, p in self.parent.items():
+            if t:
+                inner.setdefault(p, []).append(t)
+        # constant and marked slots are taken out of all that they nest in, the outermost of them once
+        fixed = {t for t in varying if t in self.constant or any(rank_of_mark(x) for x in t.split(">"))}
+        for t in fixed:
+            above = [t]
+            while above[-1]:
+                above.append(self.parent[above[-1]])
+            if not fixed & {*above[1:]}:
+                for p in above[1:]:
+                    varying[p] = varying.get(p, 0) - varying[t]
+        mean = lambda t: varying[t] / pages[t]
+        slot = ""
+        while (found := [t for t in inner.get(slot, ()) if t not in fixed]) and varying.get("", 0) > 0:
+            top = max(found, key=lambda t: (mean(t), t))
+            if mean(top) < SLOT_SHARE * mean(""):
+                break
+            slot = top
+        return slot if slot.rpartition(">")[2].partition(".")[0] not in ("", "html", "body") else None
+
 
 def rank_of(label: str) -> int:
     """How surely a label names the article's element: 0 for not at all."""
@@ -274,7 +303,7 @@ def _template(text: str | None) -> Template:
 
 
 def content_root(elements: list[Element], blocks: list[tuple[Element, str]], template: Template) -> Element:
-    """The page's content slot: its element at the template's slot, else its own best one, else the whole page."""
+    """The page's content slot: its best element by name (of equals, the one at the template's slot), else its element at the slot, else the whole page."""
     volume: dict[int, int] = {}
     for e, text in blocks:
         x: Element | None = e
@@ -294,6 +323,9 @@ def content_root(elements: list[Element], blocks: list[tuple[Element, str]], tem
         key = (rank, int(e.path[:400] == template.slot), volume[id(e)])
         if key > best:
             best, found = key, e
+    if found is elements[0] and template.slot:
+        at_slot = [e for e in elements[1:] if e.tag in STRUCTURAL and e.path[:400] == template.slot and not e.hidden and volume.get(id(e))]
+        found = max(at_slot, key=lambda e: volume[id(e)], default=found)
     return found
 
 

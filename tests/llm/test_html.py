@@ -56,3 +56,12 @@ def test_template_of_a_host_without_article_elements(spark):
     [t] = [htmltext.Template(r.template) for r in htmltext.templates(pages).where("host = 'h.example.com'").collect()]
     assert any(len(c) >= 4 for c in t.classes.values()) and t.parent["html>body>div.z0"] == "html>body"
     assert htmltext.extracted(pages.limit(0)).count() == 0
+
+
+def test_slot_by_varying_text(spark):
+    """Without names, the innermost slot that holds the varying text is the content; short varying slots beside it are not."""
+    page = "<html><body><div class=x1>Welcome</div><div class=x2><div class=x3><p>{}</p></div></div><div class=x4>Seen {} times</div></body></html>"
+    rows = [(k, f"https://h.example.com/{k}", page.format(f"varying words number {k} " * 20, k)) for k in range(12)]
+    rows.append((50, "https://h.example.com/odd", "<html><body><div class=y><p>of another make</p></div></body></html>"))
+    got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: " ".join(f"varying words number {k} ".split() * 20) for k in range(12)} | {50: "of another make"}
