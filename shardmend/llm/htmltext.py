@@ -11,7 +11,7 @@
    has at least SLOT_SHARE of a page's varying text, in means over the pages of each slot's class.
 4. Extraction takes the blocks inside the page's content slot, without what is marked as menu, header,
    footer, sidebar, notice, advert, form, script, style or reader comment, and without slots whose text
-   is the same on all pages of a host (outside article and main elements). An element named as the
+   is the same on all of a host's pages, at least CONSTANT_PAGES distinct ones (outside article and main elements). An element named as the
    article's goes before the template's slot; pages with neither are taken whole.
 
 Null html is the empty text. Pages with null or odd urls share one nameless host. Rows are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, spare_name
 
-#: Share of a host's pages that a template token is on; pages on which equal text counts as the template's; hosts up to which templates are broadcast.
+#: Share of a host's pages that a template token is on; distinct pages on which equal text counts as the template's; hosts up to which templates are broadcast.
 SUPPORT, CONSTANT_PAGES, BROADCAST_HOSTS = 0.5, 5, 100_000
 #: Share of a page's varying text that a slot without a name of an article's must hold to be the content.
 SLOT_SHARE = 0.8
@@ -209,23 +209,25 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(host, key, *t) for host, key, page in zip(pdf.host, pdf.page_key, pdf.html, strict=True) for t in tokens(page)]
-            yield pd.DataFrame(rows, columns=["host", "page_key", "token", "times", "chars", "said"])
+            # the page's own token, the first, tells copies of a page by their text
+            rows = [(host, key, found[0][3], *t) for host, key, page in zip(pdf.host, pdf.page_key, pdf.html, strict=True) if (found := tokens(page)) for t in found]
+            yield pd.DataFrame(rows, columns=["host", "page_key", "whole", "token", "times", "chars", "said"])
 
     rows = pages.select(host_of().alias("host"), F.xxhash64("page_id", "url").alias("page_key"), "html")
-    seen = rows.mapInPandas(count, "host string, page_key long, token string, times int, chars long, said long")
+    seen = rows.mapInPandas(count, "host string, page_key long, whole long, token string, times int, chars long, said long")
     classes = seen.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum((F.col("times") == 1).cast("long")).alias("once"),
         F.bit_xor(F.xxhash64("page_key", "times")).alias("vector"),
         F.sum("chars").alias("chars"),
-        (F.min("said") == F.max("said")).alias("same"),
+        # equal text says something only over distinct pages, on which other text varies
+        ((F.min("said") == F.max("said")) & (F.count_distinct("whole") >= CONSTANT_PAGES)).alias("same"),
     )
     classes = materialize(classes.where("pages > 1"), "tokens")
     totals = classes.where("token = ''").select(F.col("host").alias("host_"), F.col("pages").alias("total"))
     valid = classes.join(totals, F.col("host") == F.col("host_")).where((F.col("pages") >= SUPPORT * F.col("total")) & (F.col("once") >= 0.9 * F.col("pages")))
     # At most 1 / SUPPORT times the tokens of an average page are left of a host.
-    row = F.struct("token", F.concat_ws("/", "pages", "vector").alias("class"), "chars", (F.col("same") & (F.col("pages") >= CONSTANT_PAGES)).alias("same"))
+    row = F.struct("token", F.concat_ws("/", "pages", "vector").alias("class"), "chars", "same")
     return valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("template"))
 
 
@@ -335,18 +337,14 @@ def main_text(page: str | None, template: Template | None = None) -> str:
     if not blocks:
         return ""
     root = content_root(elements, blocks, template)
-    out = []
-    for e, text in blocks:
-        if not e.inside(root) or dropped(e, root):
-            continue
-        if root.tag not in ("article", "main") and template.constant and _constant(e, root, template):
-            continue
-        out.append(text)
+    inside = [(e, text) for e, text in blocks if e.inside(root) and not dropped(e, root)]
+    out = [text for e, text in inside if root.tag in ("article", "main") or not template.constant or not _constant(e, root, template)]
     return "\n\n".join(out)
 
 
 def _constant(e: Element, root: Element, template: Template) -> bool:
-    while e is not root and e is not None:
+    """Whether a slot between a block and the content root is constant; the root's own path (also that of a p in it) is not asked."""
+    while e is not root and e is not None and e.path != root.path:
         if e.path[:400] in template.constant:
             return True
         e = e.parent

@@ -65,3 +65,12 @@ def test_slot_by_varying_text(spark):
     rows.append((50, "https://h.example.com/odd", "<html><body><div class=y><p>of another make</p></div></body></html>"))
     got = {r.page_id: r.text for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: " ".join(f"varying words number {k} ".split() * 20) for k in range(12)} | {50: "of another make"}
+
+
+def test_copies_keep_their_text(spark):
+    """Equal pages say nothing about what is constant, and the root's own path is never a constant slot."""
+    boxed, bare = "<html><body><div class=content><p>the text</p></div></body></html>", "<html><body><p>bare text</body></html>"
+    moved = "<html><body><div class=x9>Seen {} times</div><div class=content><p>the same text</p></div></body></html>"
+    rows = [(k, f"https://{host}.example.com/{k}", page.format(k)) for host, page in (("a", boxed), ("b", bare), ("c", moved)) for k in range(6)]
+    got = {(r.url[8], r.text) for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {("a", "the text"), ("b", "bare text"), ("c", "the same text")}
