@@ -11,6 +11,11 @@
    task holds an unbounded group, and every pair still meets.
 4. Components of the links: alternating large and small stars, each round written to the shared folder.
 
+one_of_each, which drops documents, links distinct texts only if their exact five-word similarity is
+VERIFIED or more. Near fingerprints are candidates: in HUB_ROUNDS rounds each text is compared with
+two near ones of other components so far, then all pairs are that are still near and apart. So every
+pair within the radius is verified or already joined, and a large family of copies is no square of pairs.
+
 Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id
 each get a row. Null doc_ids are never a component's name unless all its documents have none.
 """
@@ -34,6 +39,10 @@ BLOCKS = {3: 5, 4: 6, 5: 8, 6: 9}
 #: A key with about this many fingerprints is split; one row in SAMPLE is counted to find such keys.
 SPLIT_AT, SAMPLE = 1024, 16
 LEAF = 64
+#: Words of the shingles, and the Jaccard similarity, by which near texts are verified before one is dropped.
+VERIFIED_WORDS, VERIFIED = 5, 0.8
+#: Rounds with a few candidates for each text before all pairs left are verified.
+HUB_ROUNDS = 2
 #: Ids up to which a list of dropped documents is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -187,36 +196,158 @@ def _stars(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list[np.ndar
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), links between distinct fingerprints of column fp that span the components within the radius."""
+    def made(keys: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        a, b = map(np.concatenate, _stars(keys, fp, radius))
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, pdf in _whole_groups(batches):
+            yield made(keys, pdf.fp.to_numpy().view(np.uint64))
+
+    return _dealt(fps.select("fp"), radius).mapInPandas(join, "a long, b long").distinct()
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
+    """Batches sorted by g, cut so that no group of equal g is parted."""
+    held = None
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        keys = held.g.to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last group may go on in the next batch
+        if cut:
+            yield keys[:cut], held[:cut]
+            held = held[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held.g.to_numpy(), held
+
+
+def _dealt(fps: DataFrame, radius: int) -> DataFrame:
+    """Rows of fps (column fp, others go along) with a group g for each mask, in partitions sorted by g."""
     spark = fps.sparkSession
-    keyed = lambda df: df.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key"))
-    sampled = keyed(fps.where(F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(SAMPLE)) == 0))
+    others = [c for c in fps.columns if c != "fp"]
+    keyed = lambda df: df.select("fp", *others, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key"))
+    sampled = keyed(fps.where(F.pmod(F.xxhash64(F.lit(5), "fp", *others), F.lit(SAMPLE)) == 0))
     # Groups this large are few (distinct fingerprints x masks / SPLIT_AT at most); Spark broadcasts them only below its threshold.
     hot = sampled.groupBy("t", "key").count().where(F.col("count") >= SPLIT_AT * 3 // (SAMPLE * 4)).select("t", "key", F.ceil(F.col("count") * SAMPLE / SPLIT_AT).cast("int").alias("parts"))
     hot = materialize(hot, "hot")
     rows = keyed(fps).join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    sub = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")).cast("int")
-    rows = rows.withColumn("sub", sub).select("fp", "t", "key", "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sub = F.pmod(F.xxhash64(F.lit(7), "fp", *others), F.col("parts")).cast("int")
+    rows = rows.withColumn("sub", sub).select("fp", *others, "t", "key", "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     group = F.xxhash64("t", "key", F.least("sub", "other"), F.greatest("sub", "other"))  # two groups that share a hash are compared in vain, no more
-    rows = rows.select("fp", group.alias("g"))
+    rows = rows.select("fp", *others, group.alias("g"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "g").sortWithinPartitions("g")
+    return rows.repartition(n, "g").sortWithinPartitions("g")
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for pdf in batches:
-            keys, fp = np.r_[keys, pdf.g.to_numpy()], np.r_[fp, pdf.fp.to_numpy().view(np.uint64)]
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on in the next batch
-            if cut:
-                yield made(keys[:cut], fp[:cut])
-                keys, fp = keys[cut:], fp[cut:]
-        if len(keys):
-            yield made(keys, fp)
 
-    def made(keys: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        a, b = map(np.concatenate, _stars(keys, fp, radius))
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
+def _candidates(nodes: DataFrame, radius: int, salt: int | None) -> DataFrame:
+    """(a, b), a < b: pairs of nodes (fp, node, label) within the radius and of different labels.
+
+    With a salt, of each node its nearest one, and the first one in an order that the salt makes; else all.
+    """
+
+    def rank_of(node: np.ndarray) -> np.ndarray:
+        return ((node.view(np.uint64) ^ np.uint64(salt or 0)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+
+    def found(fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(fp, kind="stable")
+        fp, node, label = fp[order], node[order], label[order]
+        rank = rank_of(node)
+        near_at, near_d = np.full(len(fp), -1), np.full(len(fp), 99)
+        hub_at = np.full(len(fp), -1)
+        for lo, hi, lo2, hi2 in leaf_pairs(fp, radius):
+            for (a, z), (a2, z2) in {((lo, hi), (lo2, hi2)), ((lo2, hi2), (lo, hi))}:
+                for a3 in range(a2, z2, LEAF * LEAF):  # a node of equal fingerprints may be large
+                    z3 = min(z2, a3 + LEAF * LEAF)
+                    step = max(1, (1 << 20) // (z3 - a3))
+                    for at in range(a, z, step):
+                        to = min(z, at + step)
+                        d = np.bitwise_count(fp[at:to, None] ^ fp[None, a3:z3]).astype(np.int64)
+                        d[(label[at:to, None] == label[None, a3:z3])] = 99
+                        ok = d <= radius
+                        if salt is None:
+                            i, j = np.nonzero(ok)
+                            yield order[i + at], order[j + a3]
+                            continue
+                        some = np.flatnonzero(ok.any(axis=1))
+                        if not len(some):
+                            continue
+                        d, ok = d[some], ok[some]
+                        j = d.argmin(axis=1)
+                        best = d[np.arange(len(some)), j]
+                        closer = best < near_d[at + some]
+                        near_at[at + some[closer]], near_d[at + some[closer]] = a3 + j[closer], best[closer]
+                        j = a3 + np.where(ok, rank[None, a3:z3], np.uint64(0xFFFFFFFFFFFFFFFF)).argmin(axis=1)
+                        old = hub_at[at + some]
+                        sooner = (old < 0) | (rank[j] < rank[old])
+                        hub_at[at + some[sooner]] = j[sooner]
+        if salt is not None:
+            for at in (near_at, hub_at):
+                has = np.flatnonzero(at >= 0)
+                yield order[has], order[at[has]]
 
-    return rows.mapInPandas(join, "a long, b long").distinct()
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, pdf in _whole_groups(batches):
+            fp, node, label = pdf.fp.to_numpy().view(np.uint64), pdf.node.to_numpy(), pdf.label.to_numpy()
+            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]  # most groups: compared all at once
+            two = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (label[two] != label[two + 1])]
+            a, b = [two, two + 1], [two + 1, two]
+            for lo, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                for x, y in found(fp[lo : lo + n], node[lo : lo + n], label[lo : lo + n]):
+                    a.append(lo + x)
+                    b.append(lo + y)
+            u, v = np.concatenate(a), np.concatenate(b)
+            yield pd.DataFrame({"u": node[u], "v": node[v], "o": rank_of(node[v]).view(np.int64), "d": np.bitwise_count(fp[u] ^ fp[v]).astype(np.int32)}).drop_duplicates()
+
+    pairs = _dealt(nodes.select("fp", "node", "label"), radius).mapInPandas(join, "u long, v long, o long, d int")
+    if salt is not None:
+        least = pairs.groupBy("u").agg(F.min(F.struct("o", "v")).alias("p"), F.min(F.struct("d", "o", "v")).alias("q"))
+        pairs = least.select("u", F.explode(F.array("p.v", "q.v")).alias("v"))
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles): the distinct hashes of the five-word shingles of each (node, text)."""
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, VERIFIED_WORDS)).view(np.int64) for t in part], dtype=object)
+
+    return texts.select("node", sets("text").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+    of = lambda n: shingles.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    similar = both >= F.lit(VERIFIED) * (F.size("of_a") + F.size("of_b") - both)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(similar).select("a", "b")
+
+
+def verified_components(texts: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of the components of nodes (fp, node), linked by pairs within the radius whose texts (node, text) are similar enough."""
+    tried = found = sets = roots = None
+    nodes = nodes.withColumn("label", F.col("node"))
+    for salt in [*range(1, HUB_ROUNDS + 1), None]:
+        pairs = _candidates(nodes, radius, salt)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "candidates")
+        if pairs.isEmpty():
+            if salt is None or tried is None:
+                break
+            continue
+        if sets is None:  # a text that is near another one is in a pair of the first round
+            near = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near")
+            nodes = materialize(nodes.join(near, "node", "left_semi"), "nodes")
+            sets = materialize(_shingle_sets(texts.join(near, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))), "shingles")
+        tried = pairs if tried is None else tried.union(pairs)
+        linked = materialize(_verified(pairs, sets), "verified")
+        found = linked if found is None else found.union(linked)
+        roots = materialize(components(found), "roots")
+        nodes = nodes.drop("label").join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        nodes = materialize(nodes, "nodes")
+    return roots if roots is not None else nodes.select("node", F.col("label").alias("root")).limit(0)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,9 +400,16 @@ def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each near-duplicate component: its smallest doc_id (of rows that repeat it, one). Documents without doc_id stay."""
-    marked = materialize(with_fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "fingerprints")
-    found = classes(marked, radius)
+    """docs with one document of each component of verified near duplicates: its smallest doc_id (of rows that repeat it, one). Documents without doc_id stay."""
+    texts = with_nodes(docs.select("doc_id", "text"))
+    marked = materialize(with_fingerprints(texts, words).select("doc_id", "node", "fp"), "fingerprints")
+    firsts = materialize(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = verified_components(texts.select("node", "text"), firsts.select("fp", "node"), radius)
+    names = roots.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = roots.join(names, "root").select("node", "component_id")
+    named = firsts.join(named, "node", "left").select(F.col("node").alias("node_"), F.coalesce("component_id", "first_id").alias("component_id"))
+    named = materialize(named, "named")  # as in classes
+    found = marked.join(named.hint("merge"), F.col("node") == F.col("node_"), "left")
     drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
     # Rows that repeat a kept doc_id: all but one of them go, too.
     twice = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
@@ -282,6 +420,12 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIU
     return kept.unionByName(docs.join(_sized(twice), docs["doc_id"] == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"]))
 
 
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """docs with a column node: a hash of the words of its text, the same for all copies."""
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return docs.withColumn("node", F.xxhash64(F.trim(F.regexp_replace(lower, r"[\x09-\x0D ]+", " "))))
+
+
 def _sized(ids: DataFrame) -> DataFrame:
     """Broadcast if it has few rows (it reads written tables, so counting is cheap); else joined by a shuffle."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

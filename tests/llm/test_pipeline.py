@@ -62,3 +62,40 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_only_similar_texts_are_near_duplicates(spark, docs_of):
+    """Near fingerprints alone don't drop a document; texts of a five-word similarity of 0.8 do, also through others."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(5000)}"
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rows = []
+    for k in range(25):
+        base = [word() for _ in range(300)]
+        rows.append((10 * k, " ".join(base)))
+        for m in range(1, 8):
+            changed = base.copy()
+            for at in rng.sample(range(300), 3 * m // 2):
+                changed[at] = word()
+            rows.append((10 * k + m, " ".join(changed)))
+    rows += [(i + 5000, t.upper()) for i, t in rows[:8]]  # copies, but for case
+    texts = dict(rows)
+    fps = {i: simhash.fingerprint(t) & (1 << 64) - 1 for i, t in rows}
+    shingles = {i: sets(t.lower()) for i, t in rows}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    false = 0
+    for i in texts:
+        for j in texts:
+            if i < j and (fps[i] ^ fps[j]).bit_count() <= stages.PIPELINE_RADIUS:
+                if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                    root[max(top(i), top(j))] = min(top(i), top(j))
+                else:
+                    false += 1
+    got = {r.doc_id for r in stages.drop_near_duplicates(spark, docs_of(rows), "").collect()}
+    assert false > 10 and got == {i for i in texts if top(i) == i}
