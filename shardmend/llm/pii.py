@@ -219,20 +219,24 @@ def gold_segments(tokens: list[tuple[int, int]], spans: list[tuple[str, int, int
 
 def decode(text: str, tokens: list[tuple[int, int]], w: dict) -> list[tuple[str, int, int]]:
     """Best segmentation; spans kept have a margin of MARGIN over the best that reads their tokens as plain ones."""
-    out = []
-    for at in range(0, len(tokens), 64):  # long runs of numbers (tables) are cut, to bound the work of one zone
-        part = tokens[at : at + 64]
-        pot = potentials(w, candidates(text, part))
-        best = [(0.0, 0, "O")] + [(-math.inf, 0, "O")] * len(part)
-        for (i, j, k), v in sorted(pot.items(), key=lambda x: (x[0][1], x[0][0])):
-            if best[i][0] + v > best[j][0]:
-                best[j] = (best[i][0] + v, i, k)
-        j = len(part)
-        while j > 0:
-            _, i, k = best[j]
-            if k != "O" and pot[i, j, k] - sum(pot[x, x + 1, "O"] for x in range(i, j)) >= MARGIN:
-                out.append((k, part[i][0], part[j - 1][1]))
-            j = i
+    # Segments have MAX_SEGMENT tokens at most, so the work grows with the run, however long; only each token's best is kept.
+    plain, best = [], [(0.0, 0, "O", 0.0)]
+    for j in range(1, len(tokens) + 1):
+        top = (-math.inf, 0, "O", 0.0)
+        for i in range(max(0, j - MAX_SEGMENT), j):
+            pot = potentials(w, {(i, j): segment_features(text, tokens[i][0], tokens[j - 1][1])})
+            for (_, _, k), v in pot.items():
+                if k == "O":
+                    plain.append(v)
+                if best[i][0] + v > top[0]:
+                    top = (best[i][0] + v, i, k, v)
+        best.append(top)
+    out, j = [], len(tokens)
+    while j > 0:
+        _, i, k, v = best[j]
+        if k != "O" and v - sum(plain[i:j]) >= MARGIN:
+            out.append((k, tokens[i][0], tokens[j - 1][1]))
+        j = i
     return out
 
 

@@ -95,3 +95,15 @@ def test_frame(docs_of):
 
 def test_mask_joins_overlaps():
     assert pii.mask_text("abcdefgh", [("card", 1, 5), ("phone", 3, 7)]) == "a[card]h"
+
+
+def test_a_run_longer_than_any_cut():
+    """A segment is found wherever it lies in a long run of telling tokens."""
+    w = {"card|card=True,True": 50.0, "card|bias": -10.0}
+    card = "4111 1111 1111 1111"
+    for before in (0, 60, 61, 62, 63, 64, 125, 126, 127, 300):
+        text = " ".join(["7"] * before + [card] + ["7"] * 200)
+        at = 2 * before
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        found = pii.decode(text, tokens, w)
+        assert any(k == "card" and a < at + len(card) and b > at for k, a, b in found), before
