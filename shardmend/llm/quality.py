@@ -59,7 +59,7 @@ def content_view(text: str | None) -> np.ndarray:
         return np.array([0, 1], np.int64)
     distinct = dict.fromkeys(words)
     n = len(text)
-    letters = sum(map(len, "".join(words).split())) and sum(c.isalpha() for c in text[:: max(1, n // 4000)]) / len(text[:: max(1, n // 4000)])
+    letters = sum(map(str.isalpha, text)) / n
     lines = text.split("\n")
     made = {
         "letters": letters,

@@ -140,3 +140,9 @@ def test_quality(spark):
     assert quality.kept(docs, model).columns == docs.columns
     nothing = quality.train(docs, known.limit(0))
     assert {r.q for r in quality.scored(docs, nothing, "q").collect()} == {0.5}
+
+
+def test_letters_are_counted_over_whole_texts():
+    """A share of a quarter, also where every fourth character is a letter."""
+    places = quality.content_view("a1. " * 4000)
+    assert quality._word["\0letters=3"] in places and quality._word["\0letters=11"] not in places
