@@ -87,7 +87,8 @@ def _specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     magics = F.array(*[F.unhex(F.lit(s[2])) for s in dims.SIGNATURES[:19]])
     head = F.when(k < 19, F.get(magics, k)).otherwise(F.lit(b"plain "))
     suffix = F.get(F.array(*map(F.lit, (".zip", ".TAR", ".gz", ".odt", ".txt", ".vhd", ""))), (F.col("doc_id") % 7).cast("int"))
-    body = F.concat(head, F.encode(F.rpad("text", 700, "x"), "UTF-8"))
+    padded = F.when(F.length("text") < 700, F.rpad("text", 700, "x")).otherwise(F.col("text"))
+    body = F.concat(head, F.encode(padded, "UTF-8"))
     return _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), suffix).alias("name"), body.alias("content"))
 
 
