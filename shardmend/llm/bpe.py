@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, spare_name
 
-#: Entries of the memo of chunks already encoded; it is emptied when full, so a worker's memory is bounded.
-MEMO_ENTRIES = 400_000
+#: Entries of a task's memo of chunks already encoded (some 40 MB); it is emptied when full.
+MEMO_ENTRIES = 200_000
 #: Chunks longer than this are encoded afresh each time.
 MEMO_CHARS = 40
 
@@ -114,30 +114,26 @@ class ByteBpe:
                 heapq.heappush(queue, m[0] << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def remember(self, memo: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        if len(key) <= MEMO_CHARS:
+            if len(self.words) + len(self.spaced) >= MEMO_ENTRIES:
+                self.words.clear()
+                self.spaced.clear()
+            memo[key] = ids
+        return ids
+
     def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            got = np.array(self.merge(word), "<u4").tobytes()
-            if len(word) <= MEMO_CHARS:
-                if len(self.words) >= MEMO_ENTRIES:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+        """Ids of a pre-token; one after a space is remembered as the chunk that it would be alone."""
+        memo, key = (self.spaced, word[1:]) if len(word) > 1 and word[0] == " " and not word[1].isspace() else (self.words, word)
+        got = memo.get(key)
+        return self.remember(memo, key, np.array(self.merge(word), "<u4").tobytes()) if got is None else got
 
     def chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.word, self.pre_tokens(chunk)))
 
     def spaced_chunk(self, rest: str) -> bytes:
         got = self.spaced.get(rest)
-        if got is None:
-            pre = self.pre_tokens(" " + rest)
-            # a chunk of one pre-token is remembered here only
-            got = np.array(self.merge(pre[0]), "<u4").tobytes() if len(pre) == 1 else b"".join(map(self.word, pre))
-            if len(rest) <= MEMO_CHARS:
-                if len(self.spaced) >= MEMO_ENTRIES:
-                    self.spaced.clear()
-                self.spaced[rest] = got
-        return got
+        return self.remember(self.spaced, rest, self.chunk(" " + rest)) if got is None else got
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, as little-endian 32-bit integers.
@@ -177,17 +173,6 @@ class ByteBpe:
         return raw
 
 
-_ready: dict[str, ByteBpe] = {}
-
-
-def _model(key: str, tables) -> ByteBpe:
-    """One model in each worker process, its memo kept between tasks."""
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = ByteBpe(tables.value)
-    return _ready[key]
-
-
 #: What encode_column can return of a text.
 FIELDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
 
@@ -203,7 +188,7 @@ def encode_column(docs: DataFrame, tokenizer_path: str, text: str = "text", fiel
 
     @F.pandas_udf(", ".join(f"{f} {FIELDS[f]}" for f in fields))
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = _model(tokenizer_path, tables)
+        bpe = ByteBpe(tables.value)  # its memos end with the task
         make = {
             "n_tokens": lambda ids: len(ids) // 4,
             "ids_sha256": lambda ids: hashlib.sha256(ids).hexdigest(),

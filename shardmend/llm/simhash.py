@@ -11,10 +11,10 @@
    task holds an unbounded group, and every pair still meets.
 4. Components of the links: alternating large and small stars, each round written to the shared folder.
 
-one_of_each, which drops documents, links distinct texts only if their exact five-word similarity is
-VERIFIED or more. Near fingerprints are candidates: in HUB_ROUNDS rounds each text is compared with
-two near ones of other components so far, then all pairs are that are still near and apart. So every
-pair within the radius is verified or already joined, and a large family of copies is no square of pairs.
+one_of_each, which drops documents, takes fingerprints of a text's distinct words (an edit changes one
+word, but as many shingles as a shingle has words) for candidates, and links distinct texts only if
+their exact five-word similarity is VERIFIED or more. Each pair of near fingerprints is looked at in
+one group; pairs already joined are skipped; the rest is filtered by sketches, then verified.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id
 each get a row. Null doc_ids are never a component's name unless all its documents have none.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, spare_name
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
 #: Blocks of the 64 bits for a radius: enough that radius + 2 or more blocks make selective keys.
@@ -41,11 +41,16 @@ SPLIT_AT, SAMPLE = 1024, 16
 LEAF = 64
 #: Words of the shingles, and the Jaccard similarity, by which near texts are verified before one is dropped.
 VERIFIED_WORDS, VERIFIED = 5, 0.8
-#: Rounds with a few candidates for each text before all pairs left are verified.
-HUB_ROUNDS = 2
+#: Rounds in which each text proposes one candidate, of so many neighbours on either side, before all pairs left are verified.
+BEST_ROUNDS, WINDOW = 3, 16
+#: Bits of a sketch of a text's five-word shingles, and how many must agree before a pair is verified exactly. At a
+#: similarity of 0.8 nine tenths agree; the bound is 3.5 standard deviations below, so about one such pair in 4,000 is missed.
+SKETCH_BITS, SKETCH_LEAST = 512, 437
 #: Ids up to which a list of dropped documents is broadcast.
 BROADCAST_ROWS = 500_000
 
+_SKETCH_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, SKETCH_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -59,9 +64,11 @@ def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.fromiter((one(p, SEED) for p in parts), np.uint64)
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """As a signed 64-bit integer."""
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS, distinct: bool = False) -> int:
+    """As a signed 64-bit integer; of distinct shingles, or with repeats."""
     h = shingle_hashes(text, words)
+    if distinct:
+        h = np.unique(h)
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -72,13 +79,13 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, text: str = "text", name: str = "fp") -> DataFrame:
+def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, distinct: bool = False, text: str = "text", name: str = "fp") -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+            yield pd.Series([fingerprint(t, words, distinct) for t in texts], dtype="int64")
 
     return docs.withColumn(name, fp(F.col(text)))
 
@@ -222,132 +229,177 @@ def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray,
 
 
 def _dealt(fps: DataFrame, radius: int) -> DataFrame:
-    """Rows of fps (column fp, others go along) with a group g for each mask, in partitions sorted by g."""
+    """Rows of fps (column fp, others go along) with a group g for each mask t, in partitions sorted by g.
+
+    Keys that many rows share are cut into sub-blocks: each pair of them is a group, so that no task holds
+    an unbounded group and every pair still meets. `sub` is a row's own block, `apart` whether its group is of two blocks.
+    """
     spark = fps.sparkSession
     others = [c for c in fps.columns if c != "fp"]
     keyed = lambda df: df.select("fp", *others, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key"))
-    sampled = keyed(fps.where(F.pmod(F.xxhash64(F.lit(5), "fp", *others), F.lit(SAMPLE)) == 0))
+    named = [c for c in others if c != "sketch"]
+    sampled = keyed(fps.where(F.pmod(F.xxhash64(F.lit(5), "fp", *named), F.lit(SAMPLE)) == 0))
     # Groups this large are few (distinct fingerprints x masks / SPLIT_AT at most); Spark broadcasts them only below its threshold.
     hot = sampled.groupBy("t", "key").count().where(F.col("count") >= SPLIT_AT * 3 // (SAMPLE * 4)).select("t", "key", F.ceil(F.col("count") * SAMPLE / SPLIT_AT).cast("int").alias("parts"))
     hot = materialize(hot, "hot")
     rows = keyed(fps).join(hot, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    sub = F.pmod(F.xxhash64(F.lit(7), "fp", *others), F.col("parts")).cast("int")
+    sub = F.pmod(F.xxhash64(F.lit(7), "fp", *named), F.col("parts")).cast("int")
     rows = rows.withColumn("sub", sub).select("fp", *others, "t", "key", "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     group = F.xxhash64("t", "key", F.least("sub", "other"), F.greatest("sub", "other"))  # two groups that share a hash are compared in vain, no more
-    rows = rows.select("fp", *others, group.alias("g"))
+    rows = rows.select("fp", *others, "t", "sub", (F.col("sub") != F.col("other")).alias("apart"), group.alias("g"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "g").sortWithinPartitions("g")
 
 
-def _candidates(nodes: DataFrame, radius: int, salt: int | None) -> DataFrame:
-    """(a, b), a < b: pairs of nodes (fp, node, label) within the radius and of different labels.
+# --- near duplicates verified by their shingles ---------------------------------------------------
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """SKETCH_BITS one-bit min-wise hashes of a set: of two sets of Jaccard similarity j, (1 + j) / 2 of the bits agree."""
+    if not len(shingles):
+        return bytes(SKETCH_BITS // 8)
+    h = shingles.view(np.uint64)
+    with np.errstate(over="ignore"):
+        least = np.array([(h * a).min() for a in _SKETCH_FACTORS], np.uint64)
+        return np.packbits(((least * _SKETCH_MIX) >> np.uint64(63)).astype(bool)).tobytes()
+
 
-    With a salt, of each node its nearest one, and the first one in an order that the salt makes; else all.
+def _first_mask(x: np.ndarray, radius: int) -> np.ndarray:
+    """Of differences of fingerprints, the number of the first mask on which they agree: the one group in which a pair is looked at."""
+    found = np.full(len(x), -1)
+    for t, m in reversed([*enumerate(masks(radius))]):
+        found[(x & np.uint64(m & (1 << 64) - 1)) == 0] = t
+    return found
+
+
+def _candidates(nodes: DataFrame, radius: int, best: bool) -> DataFrame:
+    """(a, b, la, lb), a < b: pairs of nodes (fp, node, label, sketch) within the radius, of different labels and with sketches near enough.
+
+    All of them; or, where only the best are asked for, of each node the one with the nearest sketch of
+    WINDOW neighbours on either side in the order of the trie, which costs no square of a group.
     """
 
-    def rank_of(node: np.ndarray) -> np.ndarray:
-        return ((node.view(np.uint64) ^ np.uint64(salt or 0)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-
-    def found(fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(fp, kind="stable")
-        fp, node, label = fp[order], node[order], label[order]
-        rank = rank_of(node)
-        near_at, near_d = np.full(len(fp), -1), np.full(len(fp), 99)
-        hub_at = np.full(len(fp), -1)
-        for lo, hi, lo2, hi2 in leaf_pairs(fp, radius):
-            for (a, z), (a2, z2) in {((lo, hi), (lo2, hi2)), ((lo2, hi2), (lo, hi))}:
-                for a3 in range(a2, z2, LEAF * LEAF):  # a node of equal fingerprints may be large
-                    z3 = min(z2, a3 + LEAF * LEAF)
-                    step = max(1, (1 << 20) // (z3 - a3))
-                    for at in range(a, z, step):
-                        to = min(z, at + step)
-                        d = np.bitwise_count(fp[at:to, None] ^ fp[None, a3:z3]).astype(np.int64)
-                        d[(label[at:to, None] == label[None, a3:z3])] = 99
-                        ok = d <= radius
-                        if salt is None:
-                            i, j = np.nonzero(ok)
-                            yield order[i + at], order[j + a3]
-                            continue
-                        some = np.flatnonzero(ok.any(axis=1))
-                        if not len(some):
-                            continue
-                        d, ok = d[some], ok[some]
-                        j = d.argmin(axis=1)
-                        best = d[np.arange(len(some)), j]
-                        closer = best < near_d[at + some]
-                        near_at[at + some[closer]], near_d[at + some[closer]] = a3 + j[closer], best[closer]
-                        j = a3 + np.where(ok, rank[None, a3:z3], np.uint64(0xFFFFFFFFFFFFFFFF)).argmin(axis=1)
-                        old = hub_at[at + some]
-                        sooner = (old < 0) | (rank[j] < rank[old])
-                        hub_at[at + some[sooner]] = j[sooner]
-        if salt is not None:
-            for at in (near_at, hub_at):
-                has = np.flatnonzero(at >= 0)
-                yield order[has], order[at[has]]
+    def checked(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        """Pairs of places that qualify, once in all groups."""
+        fp, label, node = pdf.fp.to_numpy().view(np.uint64), pdf.label.to_numpy(), pdf.node.to_numpy()
+        x = fp[i] ^ fp[j]
+        ok = (np.bitwise_count(x) <= radius) & (label[i] != label[j]) & (node[i] != node[j])
+        ok &= ~pdf.apart.to_numpy()[i] | (pdf["sub"].to_numpy()[i] != pdf["sub"].to_numpy()[j])
+        i, j, x = i[ok], j[ok], x[ok]
+        if len(i):
+            first = _first_mask(x, radius) == pdf["t"].to_numpy()[i]
+            i, j = i[first], j[first]
+        agree = np.zeros(len(i), np.int64)
+        for at in range(0, len(i), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            u, v = (np.frombuffer(b"".join(pdf.sketch.iloc[k[part]]), np.uint64).reshape(-1, SKETCH_BITS // 64) for k in (i, j))
+            agree[part] = SKETCH_BITS - np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+        ok = agree >= SKETCH_LEAST
+        i, j = i[ok], j[ok]
+        return pd.DataFrame({"u": node[i], "v": node[j], "lu": label[i], "lv": label[j], "agree": agree[ok]})
+
+    def neighbours(keys: np.ndarray, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        order = np.lexsort((pdf.fp.to_numpy().view(np.uint64), keys))
+        pdf, keys, out = pdf.iloc[order].reset_index(drop=True), keys[order], []
+        for s in range(1, WINDOW + 1):
+            i = np.flatnonzero(keys[s:] == keys[:-s])
+            if not len(i):
+                break
+            out.append(checked(pdf, i, i + s))
+        if out:
+            found = pd.concat(out, ignore_index=True)
+            both = pd.concat([found, found.rename(columns={"u": "v", "v": "u", "lu": "lv", "lv": "lu"})[found.columns]], ignore_index=True)
+            yield both.sort_values(["u", "agree", "v"], ascending=[True, False, True]).drop_duplicates("u")
+
+    def all_of(keys: np.ndarray, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        order = np.lexsort((pdf.fp.to_numpy().view(np.uint64), keys))
+        pdf, keys = pdf.iloc[order].reset_index(drop=True), keys[order]
+        fp, label = pdf.fp.to_numpy().view(np.uint64), pdf.label.to_numpy()
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        size = np.diff(edges)
+        i, j = [edges[:-1][size == 2]], [edges[:-1][size == 2] + 1]  # most groups: compared all at once
+        held = len(i[0])
+        for lo, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = label[lo : lo + n]
+            done = lambda a, z, a2, z2, own=own: bool((own[a:z] == own[a]).all() and (own[a2:z2] == own[a]).all())
+            for a, z, a2, z2 in leaf_pairs(fp[lo : lo + n], radius, done):
+                step = max(1, (1 << 20) // (z2 - a2))  # a node of equal fingerprints may be large
+                for at in range(a, z, step):
+                    to = min(z, at + step)
+                    x, y = np.nonzero((np.bitwise_count(fp[lo + at : lo + to, None] ^ fp[None, lo + a2 : lo + z2]) <= radius) & (own[at:to, None] != own[None, a2:z2]))
+                    x, y = x + lo + at, y + lo + a2
+                    once = x < y if (a, z) == (a2, z2) else np.ones(len(x), bool)
+                    i.append(x[once])
+                    j.append(y[once])
+                    held += len(i[-1])
+                    if held > 1 << 18:
+                        yield checked(pdf, np.concatenate(i), np.concatenate(j))
+                        i, j, held = [], [], 0
+        if i:
+            yield checked(pdf, np.concatenate(i), np.concatenate(j))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, pdf in _whole_groups(batches):
-            fp, node, label = pdf.fp.to_numpy().view(np.uint64), pdf.node.to_numpy(), pdf.label.to_numpy()
-            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            size = np.diff(edges)
-            two = edges[:-1][size == 2]  # most groups: compared all at once
-            two = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius) & (label[two] != label[two + 1])]
-            a, b = [two, two + 1], [two + 1, two]
-            for lo, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                for x, y in found(fp[lo : lo + n], node[lo : lo + n], label[lo : lo + n]):
-                    a.append(lo + x)
-                    b.append(lo + y)
-            u, v = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"u": node[u], "v": node[v], "o": rank_of(node[v]).view(np.int64), "d": np.bitwise_count(fp[u] ^ fp[v]).astype(np.int32)}).drop_duplicates()
-
-    pairs = _dealt(nodes.select("fp", "node", "label"), radius).mapInPandas(join, "u long, v long, o long, d int")
-    if salt is not None:
-        least = pairs.groupBy("u").agg(F.min(F.struct("o", "v")).alias("p"), F.min(F.struct("d", "o", "v")).alias("q"))
-        pairs = least.select("u", F.explode(F.array("p.v", "q.v")).alias("v"))
-    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-
-
-def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles): the distinct hashes of the five-word shingles of each (node, text)."""
-
-    @F.pandas_udf("array<long>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            yield from (neighbours if best else all_of)(keys, pdf)
+
+    pairs = _dealt(nodes.select("fp", "node", "label", "sketch"), radius).mapInPandas(join, "u long, v long, lu long, lv long, agree int")
+    if best:
+        top = F.max(F.struct("agree", (-F.col("v")).alias("_"), "v", "lu", "lv")).alias("p")
+        pairs = pairs.groupBy("u").agg(top).select("u", "p.v", "p.lu", "p.lv")
+    turned = F.col("u") > F.col("v")
+    of = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return pairs.select(of("u", "v").alias("a"), of("v", "u").alias("b"), of("lu", "lv").alias("la"), of("lv", "lu").alias("lb")).distinct()
+
+
+def _described(texts: DataFrame) -> DataFrame:
+    """(node, shingles, sketch) of each (node, text): the distinct hashes of its five-word shingles, and their sketch."""
+
+    @F.pandas_udf("shingles array<long>, sketch binary")
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, VERIFIED_WORDS)).view(np.int64) for t in part], dtype=object)
+            sets = [np.unique(shingle_hashes(t, VERIFIED_WORDS)) for t in part]
+            yield pd.DataFrame({"shingles": pd.Series([x.view(np.int64) for x in sets], dtype=object), "sketch": pd.Series([sketch(x) for x in sets], dtype=object)})
 
-    return texts.select("node", sets("text").alias("shingles"))
+    return texts.select("node", described("text").alias("d")).select("node", "d.*")
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The pairs (a, b, la, lb) whose texts are similar enough."""
     of = lambda n: shingles.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     similar = both >= F.lit(VERIFIED) * (F.size("of_a") + F.size("of_b") - both)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(similar).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(similar).select("a", "b", "la", "lb")
 
 
 def verified_components(texts: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
-    """(node, root) of the components of nodes (fp, node), linked by pairs within the radius whose texts (node, text) are similar enough."""
-    tried = found = sets = roots = None
-    nodes = nodes.withColumn("label", F.col("node"))
-    for salt in [*range(1, HUB_ROUNDS + 1), None]:
-        pairs = _candidates(nodes, radius, salt)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "candidates")
+    """(node, root) of the components of nodes (fp, node), linked by pairs within the radius whose texts (node, text) are similar enough.
+
+    The links of near_duplicates tell which nodes have a near one at all; only those go on. Rounds in
+    which each node proposes its best neighbour join most of a family of copies; the last round looks at
+    all pairs that are still apart.
+    """
+    shared = nodes.groupBy("fp").count().where("count > 1").select("fp")
+    linked = materialize(links(nodes.select("fp").distinct(), radius), "links")
+    near = linked.select(F.col("a").alias("fp")).union(linked.select("b")).union(shared).distinct()
+    near = materialize(nodes.join(near, "fp", "left_semi"), "near")
+    described = materialize(_described(texts.join(near.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))), "described")
+    nodes = materialize(near.join(described.select("node", "sketch"), "node").select("fp", "node", F.col("node").alias("label"), "sketch"), "nodes")
+    tried = None
+    for best in [*[True] * BEST_ROUNDS, False]:
+        pairs = _candidates(nodes, radius, best)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "candidates")
         if pairs.isEmpty():
-            if salt is None or tried is None:
-                break
             continue
-        if sets is None:  # a text that is near another one is in a pair of the first round
-            near = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near")
-            nodes = materialize(nodes.join(near, "node", "left_semi"), "nodes")
-            sets = materialize(_shingle_sets(texts.join(near, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))), "shingles")
-        tried = pairs if tried is None else tried.union(pairs)
-        linked = materialize(_verified(pairs, sets), "verified")
-        found = linked if found is None else found.union(linked)
-        roots = materialize(components(found), "roots")
-        nodes = nodes.drop("label").join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        nodes = materialize(nodes, "nodes")
-    return roots if roots is not None else nodes.select("node", F.col("label").alias("root")).limit(0)
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        found = materialize(_verified(pairs, described).select(F.col("la").alias("a"), F.col("lb").alias("b")), "verified")
+        if found.isEmpty():
+            continue
+        # the graph is contracted: its nodes are the labels so far
+        roots = components(found).select(F.col("node").alias("label"), "root")
+        nodes = materialize(nodes.join(roots, "label", "left").select("fp", "node", F.coalesce("root", "label").alias("label"), "sketch"), "nodes")
+    return nodes.select("node", F.col("label").alias("root"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -399,10 +451,13 @@ def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component of verified near duplicates: its smallest doc_id (of rows that repeat it, one). Documents without doc_id stay."""
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each component of verified near duplicates: its smallest doc_id (of rows that repeat it, one). Documents without doc_id stay.
+
+    Null and empty texts are copies of each other. Texts of any length are compared whole; extra columns go along.
+    """
     texts = with_nodes(docs.select("doc_id", "text"))
-    marked = materialize(with_fingerprints(texts, words).select("doc_id", "node", "fp"), "fingerprints")
+    marked = materialize(with_fingerprints(texts, 1, distinct=True).select("doc_id", "node", "fp"), "fingerprints")
     firsts = materialize(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = verified_components(texts.select("node", "text"), firsts.select("fp", "node"), radius)
     names = roots.join(firsts, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -410,14 +465,15 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIU
     named = firsts.join(named, "node", "left").select(F.col("node").alias("node_"), F.coalesce("component_id", "first_id").alias("component_id"))
     named = materialize(named, "named")  # as in classes
     found = marked.join(named.hint("merge"), F.col("node") == F.col("node_"), "left")
-    drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
+    gone = spare_name(docs, "gone_id")
+    drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
     # Rows that repeat a kept doc_id: all but one of them go, too.
-    twice = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone_id"))
-    twice = materialize(twice.join(drop, "gone_id", "left_anti"), "repeated")
-    kept = docs.join(_sized(drop.union(twice)), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    twice = marked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone))
+    twice = materialize(twice.join(drop, gone, "left_anti"), "repeated")
+    kept = docs.join(_sized(drop.union(twice)), docs["doc_id"] == F.col(gone), "left_anti")
     if twice.isEmpty():
         return kept
-    return kept.unionByName(docs.join(_sized(twice), docs["doc_id"] == F.col("gone_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.join(_sized(twice), docs["doc_id"] == F.col(gone), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def with_nodes(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, decontaminate, pii, simhash, toxicity
 from .common import spare_name, table
 
-#: Differing bits of near duplicates in the pipeline: wider than the operator's default of 3, since texts of
-#: a five-word similarity of 0.8 to 1 differ by 1 to 9 bits; all pairs within this radius are
+#: Differing bits of near duplicates in the pipeline: wider than the operator's default of 3. All pairs within this radius are
 #: found, and verified by their exact five-word similarity before one is dropped.
 PIPELINE_RADIUS = 6
 

@@ -27,26 +27,30 @@ BITS, STEM = 20, 4
 TRAIN_ROWS, PASSES = 12_000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 0.1
 THRESHOLD = 0.7
-MEMO_WORDS = 600_000
+#: Bounds of a task's memo of words: entries, and characters in all (some 25 MB).
+MEMO_WORDS, MEMO_CHARS = 100_000, 2 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
 class _Places(dict):
-    """Word -> its row in two arrays of hashes, of the word and of its stem; remembered up to a bound."""
+    """Word -> its row in two arrays of hashes, of the word and of its stem; remembered up to a bound, by one task."""
 
     def __init__(self):
+        self.chars = 0
         self.word, self.stem = np.zeros(MEMO_WORDS, np.uint64), np.zeros(MEMO_WORDS, np.uint64)
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
+        self.chars += len(word)
         self.word[n], self.stem[n] = (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in (word, word[:STEM]))
         return n
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) + len(words) > MEMO_WORDS:
+        if len(self) + len(words) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.clear()
+            self.chars = 0
         if len(words) > MEMO_WORDS:
             halves = [self.of(words[: len(words) // 2]), self.of(words[len(words) // 2 :])]
             return tuple(np.concatenate(x) for x in zip(*halves, strict=True))
@@ -54,17 +58,14 @@ class _Places(dict):
         return self.word[at], self.stem[at]
 
 
-_known = _Places()
-
-
-def places(text: str | None) -> np.ndarray:
+def places(text: str | None, known: _Places | None = None) -> np.ndarray:
     """Feature places of a text, repeats included; place 0 is the bias.
 
     A word stands for itself and for its stem, its first STEM letters, so that inflected forms never
     seen before still count.
     """
     words = _WORD.findall((text or "").lower())
-    h, stem = _known.of(words)
+    h, stem = (_Places() if known is None else known).of(words)
     shift = np.uint64(64 - BITS)
     with np.errstate(over="ignore"):
         parts = [
@@ -76,9 +77,9 @@ def places(text: str | None) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), *parts]).astype(np.int64)
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, known: _Places | None = None) -> np.ndarray:
     """Sorted distinct feature places."""
-    return np.unique(places(text))
+    return np.unique(places(text, known))
 
 
 class Ftrl:
@@ -151,9 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     examples = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").limit(2 * rows)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = []
+        got, words = [], _Places()
         for pdf in batches:
-            got += [(i, features(t).astype(np.int32), y) for i, t, y in zip(pdf.doc_id, pdf.text, pdf.toxic, strict=True)]
+            got += [(i, features(t, words).astype(np.int32), y) for i, t, y in zip(pdf.doc_id, pdf.text, pdf.toxic, strict=True)]
         got.sort(key=lambda x: (x[0], x[2], x[1].tobytes()))  # the order of rows must not matter
         at, w = fit([x[1:] for x in got])
         yield pd.DataFrame({"place": at, "weight": w})
@@ -176,9 +177,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = np.zeros(1 << BITS)
         w[shared.value[0]] = shared.value[1]
-        live = w != 0
+        live, known = w != 0, _Places()
         for texts in batches:
-            sums = np.array([total(places(t), w, live) for t in texts], np.float64)
+            sums = np.array([total(places(t, known), w, live) for t in texts], np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
 
     return docs.withColumn(name, score(F.col(text)))
