@@ -42,7 +42,7 @@ LEAF = 64
 #: Words of the shingles, and the Jaccard similarity, by which near texts are verified before one is dropped.
 VERIFIED_WORDS, VERIFIED = 5, 0.8
 #: Rounds in which each text proposes one candidate, of so many neighbours on either side, before all pairs left are verified.
-BEST_ROUNDS, WINDOW = 3, 16
+BEST_ROUNDS, WINDOW = 2, 16
 #: Bits of a sketch of a text's five-word shingles, and how many must agree before a pair is verified exactly. At a
 #: similarity of 0.8 nine tenths agree; the bound is 3.5 standard deviations below, so about one such pair in 4,000 is missed.
 SKETCH_BITS, SKETCH_LEAST = 512, 437

@@ -44,7 +44,7 @@ def test_field_learns_and_adds():
     examples = []
     for t in docs:
         for z in pii.zones(t):
-            gold = pii.gold_segments(z, pii.base_spans(t))
+            gold = pii.gold_segments(t, z, pii.base_spans(t))
             if gold is not None:
                 examples.append((pii.candidates(t, z), gold, len(z)))
     w = pii.fit_field(examples)
@@ -61,11 +61,11 @@ def test_field_learns_and_adds():
 def test_decode_is_the_best_segmentation():
     """Viterbi against every segmentation, weights at random."""
     rng = random.Random(9)
-    text = "ab1 2 3c 4@d"
+    text = "+12 345 678 901 4111 1111 1111 1111 a @ b.c 10 . 0 . 0 . 1"
     tokens = [m.span() for m in re.finditer(r"\S+", text)]
     cands = pii.candidates(text, tokens)
     for _ in range(30):
-        w = {f"{k}|{f}": rng.uniform(-2, 2) for fs in cands.values() for f in fs for k in (*pii.KINDS, "O")}
+        w = {f"{k}|{f}": rng.uniform(-2, 2) for _, fs in cands.values() for f in fs for k in (*pii.KINDS, "O")}
         pot = pii.potentials(w, cands)
 
         def best(i, pot=pot):
@@ -107,3 +107,27 @@ def test_a_run_longer_than_any_cut():
         tokens = [m.span() for m in re.finditer(r"\S+", text)]
         found = pii.decode(text, tokens, w)
         assert any(k == "card" and a < at + len(card) and b > at for k, a, b in found), before
+
+
+def test_field_finds_what_the_rules_miss():
+    """Spans in forms that no rule reads, in texts the field has not seen: nine tenths are found, clean texts stay as they are."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 9)))
+    text = lambda: " ".join(word() if rng.random() < 0.97 else str(rng.randint(1, 9999)) for _ in range(120))
+    texts = [text() for _ in range(700)]
+    w = pii.learned(texts)
+    shuffled = texts.copy()
+    rng.shuffle(shuffled)
+    assert pii.learned(shuffled) == w
+    hit = total = 0
+    for n in range(300):
+        t, spans = pii.written_text(text(), random.Random(n))
+        base, found = pii.all_spans(t, w)
+        assert base == pii.base_spans(t) and set(base) <= set(found)
+        missed = set(spans) - set(base)
+        total += len(missed)
+        hit += len(missed & set(found))
+    assert total > 500 and hit >= 0.9 * total
+    clean = [text() + " 2024-03-07 12:30:59 ISBN 978-3-16-14841-1 and 1 234 567 or 12.03.2001" for _ in range(300)]
+    assert sum(pii.all_spans(t, w) != ([], []) for t in clean) <= 3
+    assert pii.learned([]) == {} and pii.all_spans("a (at) b dot com", {}) == ([], [])
