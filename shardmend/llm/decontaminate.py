@@ -1,10 +1,12 @@
 """Benchmark decontamination with DataFrame operations only.
 
-1. Items become weighted sets of five-word shingles (a shingle's weight is how often it occurs). A
-   window as similar as asked shares many shingles with its item, so windows are cut only where a
-   document holds enough of some item's shingles; and a window that starts with a foreign shingle is
-   no better than the next one, so starts are hits, or the last place where a window fits. Nothing is lost.
-2. SimHash of each item-sized window and of each item. Multi-index: of RADIUS + 1 blocks of the bits,
+1. Items become weighted sets of five-word shingles (a shingle's weight is how often it occurs). Of each
+   document the shingles of items are found by an equi-join. A hit counts in the windows that hold it,
+   but not in those that already hold as many of its shingle as the item: so it counts for an interval of
+   starts, and a running sum over the interval ends tells for every item-sized window how much of the
+   item it holds. That is linear in the hits, however often a passage repeats. The best window of each
+   document and item goes on, where it holds enough.
+2. SimHash of these item-sized windows and of each item. Multi-index: of RADIUS + 1 blocks of the bits,
    two fingerprints within the radius share one whole block at least, so an equi-join on blocks finds
    all such pairs of equal size.
 3. Weighted Jaccard similarity of the pairs, exactly; those of SIMILARITY or more are matches.
@@ -12,7 +14,8 @@
 Words are runs of letters and digits, lower-cased. Items of fewer than five words are one shingle of
 all their words; items without a word match nothing. A document shorter than an item is one window.
 Null and empty texts match nothing; items without item_id are items all the same. Rows that repeat a
-doc_id are one document in the result, with the best of their windows (the last of equally good ones: that one starts with a hit).
+doc_id are one document in the result, with the best of their windows (the last of equally good ones).
+Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .common import materialize, spare_name
 SHINGLE_WORDS = 5
 #: Least similarity as a fraction, and differing bits allowed: 3.6 standard deviations above the mean distance of windows that are just similar enough.
 SIMILARITY, RADIUS = (4, 5), 20
-#: Rows of a table up to which it is broadcast (they hold some hundred bytes each); larger ones are joined by a shuffle.
+#: Rows of a table up to which it is broadcast (they hold a few numbers each, under 100 bytes); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+', 0)"
@@ -49,8 +52,9 @@ def fingerprint_sql(hashes: str) -> str:
 
 
 def common_sql(a: str, b: str) -> str:
-    """SQL of the size of the intersection of two arrays as weighted sets."""
-    return f"aggregate(array_distinct({a}), 0, (n, h) -> n + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))"
+    """SQL of the size of the intersection of two arrays as weighted sets; repeats are counted one by one only where both have some."""
+    counted = f"aggregate(array_distinct({a}), 0, (n, h) -> n + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))"
+    return f"CASE WHEN size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b}) THEN size(array_intersect({a}, {b})) ELSE {counted} END"
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -88,42 +92,68 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
+def _windows(runs: DataFrame, holders: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text_key, m, start, fits): the best window of each document and item of which it holds enough.
+
+    runs: (doc_id, text_key, item_key, m, hits), hits being structs of at, hash and the item's count c of it.
+    """
+    up, down = SIMILARITY
+    pair = ["doc_id", "text_key", "item_key", "m"]
+    spots = runs.select(*pair, F.explode("hits").alias("x")).groupBy(*pair, "x.hash", "x.c").agg(F.sort_array(F.collect_list("x.at")).alias("p"))
+    # of each hit, the place of the hit that is c before it among those of its shingle
+    spots = spots.select(*pair, F.explode(F.expr("transform(p, (x, i) -> struct(x AS at, coalesce(get(p, i - CAST(c AS INT)), -1) AS before))")).alias("x"))
+    sized = holders.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.size("h").alias("n"))
+    spots = spots.join(sized, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).drop("id_", "key_")
+    spots = spots.withColumn("f", F.least("n", F.col("m") - (k - 1)))
+    spots = spots.select(*pair, "n", "f", F.greatest(F.col("x.before") + 1, F.col("x.at") - F.col("f") + 1, F.lit(0)).alias("lo"), F.least(F.col("x.at"), F.col("n") - F.col("f")).alias("hi")).where("lo <= hi")
+    ends = spots.select(*pair, "n", "f", F.explode(F.array(F.struct(F.col("lo").alias("s"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("s"), F.lit(-1).alias("d")))).alias("x"))
+    ends = ends.groupBy(*pair, "n", "f", F.col("x.s").alias("s")).agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy(*pair).orderBy("s")
+    held = ends.select(*pair, "f", F.sum("d").over(w).alias("both"), (F.lead("s").over(w) - 1).alias("start"))  # the last start that holds so much
+    best = held.where("start is not null").groupBy(*pair, "f").agg(F.max(F.struct("both", "start")).alias("x"))
+    # I / (A + B - I) >= up / down, in whole numbers: I >= up (A + B) / (up + down)
+    best = best.where(F.col("x.both") * (up + down) >= (F.col("f") + F.col("m") - (k - 1)) * up)
+    return best.select("doc_id", "text_key", "m", "x.start", F.col("f").alias("fits")).distinct()
+
+
 def _matches_of(docs: DataFrame, table: DataFrame, k: int) -> DataFrame:
     up, down = SIMILARITY
     text = docs.select("doc_id", "text").where("text is not null").withColumn("text_key", F.xxhash64("text"))
     places = text.select("doc_id", "text_key", F.posexplode(F.expr(_hashes("text", k))).alias("at", "hash"))
 
-    shingles = materialize(table.select("item_id", "m", F.xxhash64("item_id", "hashes").alias("item_key"), F.explode(F.array_distinct("hashes")).alias("hash")).distinct(), "shingles")
-    hits = places.join(_sized(shingles.select("item_key", "m", "hash")), "hash").select("doc_id", "text_key", "item_key", "m", "at")
+    keyed = table.select("item_id", "m", "hashes", "fp", F.xxhash64("item_id", "hashes").alias("item_key"))
+    shingles = keyed.select("item_key", "m", "hashes").dropDuplicates(["item_key"]).select("item_key", "m", F.explode("hashes").alias("hash"))
+    shingles = materialize(shingles.groupBy("item_key", "m", "hash").agg(F.count(F.lit(1)).alias("c")), "shingles")
+    hits = places.join(_sized(shingles), "hash")
     # of one document and item, so bounded by the document's length
-    runs = hits.groupBy("doc_id", "text_key", "item_key", "m").agg(F.sort_array(F.collect_set("at")).alias("p"))
-    # I / (A + B - I) >= up / down, in whole numbers: I >= up (A + B) / (up + down); no window has fewer shingles A than hits I
-    runs = runs.where(F.size("p") * down >= (F.col("m") - (k - 1)) * up)
-    runs = materialize(runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("m", "p")).alias("runs")), "runs")
-
-    # Back to the texts of the documents that have enough hits: few, as a rule; a table too large to broadcast is joined by shuffle.
-    holders = _sized(runs.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "runs"))
-    cut = text.join(holders, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).dropDuplicates(["doc_id", "text_key"])
-    cut = materialize(cut.select("doc_id", "text_key", F.expr(_hashes("text", k)).alias("h"), "runs"), "holders")
-    fits = f"(least(size(h), x.m - {k - 1}))"  # shingles of a window
-    need = f"(({up} * ({fits} + x.m - {k - 1}) + {up + down - 1}) div {up + down})"
-    end = "(size(h) - f)"  # the last place where a window fits
-    starts = f"array_union(filter(x.p, (s, j) -> s <= {end} AND get(x.p, CAST(j + c - 1 AS INT)) < s + f), CASE WHEN size(filter(x.p, q -> q >= {end})) >= c THEN array({end}) ELSE array() END)"
-    of_run = _let("f", fits, _let("c", need, f"transform({starts}, s -> struct(x.m AS m, s AS start, f AS fits))"))
-    # the same windows for all items of a size
-    cut = cut.select("doc_id", "text_key", "h", F.expr(f"array_distinct(flatten(transform(runs, x -> {of_run})))").alias("windows"))
-    cut = cut.select("doc_id", "text_key", F.explode(F.expr("transform(windows, x -> struct(x.m AS m, x.start AS start, slice(h, x.start + 1, x.fits) AS hashes))")).alias("x")).select("doc_id", "text_key", "x.m", "x.start", "x.hashes")
-    marked = cut.select("*", F.expr(fingerprint_sql("hashes")).alias("fp"))
-
-    index = materialize(table.select("item_id", "m", F.col("hashes").alias("item_hashes"), F.col("fp").alias("item_fp"), F.posexplode(_blocks("fp")).alias("block", "bits")), "index")
-    probe = marked.select("*", F.posexplode(_blocks("fp")).alias("block", "bits"))
+    runs = hits.groupBy("doc_id", "text_key", "item_key", "m").agg(F.collect_set(F.struct("at", "hash", "c")).alias("hits"))
+    # no window has fewer shingles A than hits I, so I >= up B / down
+    runs = materialize(runs.where(F.size("hits") * down >= (F.col("m") - (k - 1)) * up), "runs")
+
+    # Back to the texts of the documents that have enough hits: few, as a rule; a list too long to broadcast is joined by shuffle.
+    some = _sized(materialize(runs.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct(), "holding"))
+    cut = text.join(some, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    cut = materialize(cut.select("doc_id", "text_key", F.expr(_hashes("text", k)).alias("h")), "holders")
+    windows = _windows(runs, cut, k).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "m", "start", "fits")
+    windows = cut.join(windows, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")))
+    windows = windows.select("doc_id", "text_key", "m", "start", F.expr("slice(h, CAST(start AS INT) + 1, fits)").alias("hashes"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = materialize(windows.repartition(n).select("*", F.expr(fingerprint_sql("hashes")).alias("fp")), "windows")
+
+    # Fingerprints and keys meet by blocks; the arrays of hashes are fetched for the pairs within the radius only.
+    index = materialize(keyed.select("item_key", "m", F.col("fp").alias("item_fp"), F.posexplode(_blocks("fp")).alias("block", "bits")).distinct(), "index")
+    probe = marked.select("doc_id", "text_key", "m", "start", "fp", F.posexplode(_blocks("fp")).alias("block", "bits"))
     near = probe.join(_sized(index), ["m", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # a pair is met in each block that it shares: only the first one's row goes on
     first = " AND ".join(f"(block <= {b} OR a[{b}] <> c[{b}])" for b in range(RADIUS))
-    near = near.withColumns({"a": _blocks("fp"), "c": _blocks("item_fp")}).where(first).drop("a", "c")
-    shared = near.withColumn("both", F.expr(common_sql("hashes", "item_hashes")))
+    near = near.withColumns({"a": _blocks("fp"), "c": _blocks("item_fp")}).where(first).select("doc_id", "text_key", "m", "start", "item_key")
+    items = keyed.select("item_key", "item_id", F.col("hashes").alias("item_hashes")).distinct()
+    own = [F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("m").alias("m_"), F.col("start").alias("start_"), "hashes"]
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")) & (F.col("m") == F.col("m_")) & (F.col("start") == F.col("start_"))
+    pairs = near.join(items, "item_key").join(marked.select(*own), same)
+    shared = pairs.withColumn("both", F.expr(common_sql("hashes", "item_hashes")))
     union = F.size("hashes") + F.size("item_hashes") - F.col("both")
-    return shared.where(F.col("both") * down >= union * up).select("doc_id", "text_key", "item_id", (F.col("both") / union).alias("similarity"), F.col("start").alias("start_word"), F.col("m").alias("n_words"))
+    return shared.where(F.col("both") * down >= union * up).select("doc_id", "text_key", "item_id", (F.col("both") / union).alias("similarity"), F.col("start").cast("int").alias("start_word"), F.col("m").alias("n_words"))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -134,8 +164,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark passage."""
-    bad = materialize(matches(docs, items).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct(), "leaks")
-    key = spare_name(docs, "text_key")
+    key, bad_id, bad_key = spare_name(docs, "text_key"), spare_name(docs, "id_"), spare_name(docs, "key_")
+    bad = materialize(matches(docs, items).select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct(), "leaks")
     keyed = docs.withColumn(key, F.xxhash64("text"))
     # leaks are few, as a rule: then no text is shuffled
-    return keyed.join(_sized(bad), keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed[key] == F.col("key_")), "left_anti").drop(key)
+    return keyed.join(_sized(bad), keyed["doc_id"].eqNullSafe(F.col(bad_id)) & (keyed[key] == F.col(bad_key)), "left_anti").drop(key)

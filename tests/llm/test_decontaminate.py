@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 from shardmend.llm import decontaminate
@@ -78,3 +79,21 @@ def test_null_ids_and_empty_tables(spark, docs_of):
     assert sorted(r.text for r in decontaminate.clean(frame, bench).collect()) == ["clean text", "other"]
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0
     assert decontaminate.clean(frame, bench.limit(0)).count() == 4
+
+
+def test_long_text_of_repeated_passages(spark, docs_of):
+    """20,000 words of one passage over and over: the work is linear in the hits."""
+    rng = random.Random(8)
+    passage = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    docs = docs_of([(1, " ".join([passage] * 67)), (2, " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)))])
+    bench = spark.createDataFrame([(7, passage), (8, "other words that no document holds at all")], "item_id long, text string")
+    began = time.time()
+    rows = [tuple(r) for r in decontaminate.leaks(docs, bench).collect()]
+    assert rows == [(1, 7, 1.0, 66 * 300, 300)] and time.time() - began < 60
+
+
+def test_clean_keeps_clashing_columns(spark, docs_of):
+    docs = docs_of([(1, "one two three four five six"), (2, "nothing of the kind is here")], id_="x", key_="y", text_key="z")
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2]
