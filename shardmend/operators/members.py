@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import bytesio as b
-from ..sources.files import FILE_BATCH
+from ..functions.scratch import bounded_batches
 
 SCHEMA = "file_id string, ordinal int, path string, raw_name binary, size long, compressed_size long, offset long, encrypted boolean, stored_crc32 long, is_link boolean, link_target string"
 
@@ -47,7 +47,7 @@ def members(files: DataFrame) -> DataFrame:
 
 def _per_file(files: DataFrame, schema: str, rows_of: Callable, columns: tuple[str, ...] = ("file_id", "name", "content", "engine_format")) -> DataFrame:
     """Rows of a Python function of each file; its columns follow file_id."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILE_BATCH))
+    bounded_batches(files.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

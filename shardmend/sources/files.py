@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow rows of whole files in a batch.
-FILE_BATCH = 16
-
 
 def whole_files(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
     """(file_id, path, name, length, mtime, content, error) of files under a path.
