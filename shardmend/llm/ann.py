@@ -1,9 +1,10 @@
 """Exact nearest neighbours by a block matrix join with int8 tiles.
 
-Queries come in blocks of bounded size, each broadcast in turn; every candidate task multiplies tiles
-of int8 codes (as float32, in which such products are exact), bounds each cosine by the residuals of
-both codes, recomputes in double precision the pairs whose upper bound reaches the query's k-th lower
-bound, and keeps a heap of k for each query. The heaps of all tasks are merged at the end.
+Queries and candidates are cut into blocks of bounded size, and every pair of blocks is one group of a
+shuffle. In it tiles of int8 codes are multiplied (as float32, in which such products are exact), each
+cosine is bounded by the residuals of both codes, the pairs whose upper bound reaches the query's k-th
+lower bound are computed in double precision, and a heap of k is kept for each query. The heaps of all
+groups are merged at the end.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 without vec_id; vectors meet queries of their own length only. Rows that repeat a vec_id count once
@@ -21,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize
 
-#: Queries in a block (broadcast: block x dimensions x 13 bytes) and rows of a candidate tile.
-QUERY_BLOCK, TILE_ROWS = 4096, 4096
+#: Bytes of a block of queries and of candidates (as doubles), and rows of a tile.
+QUERY_BYTES, CANDIDATE_BYTES, TILE_ROWS = 4 << 20, 16 << 20, 4096
 #: Columns whose int8 products add up exactly in float32: 1024 x 127 x 127 < 2**24.
 EXACT_COLUMNS = 1024
 
@@ -151,39 +152,34 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of vectors, its own id apart.
 
-    Both have vec_id and embedding. Queries that repeat a vec_id: the one with the smallest vector counts.
+    Both have vec_id and embedding; other columns are not read. Queries that repeat a vec_id: the one with the smallest vector counts.
     """
     spark = vectors.sparkSession
-    small_batches(spark, TILE_ROWS)
     good = usable(vectors).select("vec_id", "embedding")
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    tops = []
-    for b in range(n):  # each block's size is bounded; its rows alone come to the driver
-        part = asked.where(block == b).toPandas()
-        by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length, pdf in part.groupby(part.embedding.map(len)) if len(part) else ():
-            by_length[length] = pdf.vec_id.to_numpy(np.int64), _matrix(pdf.embedding)
-        tops.append(good.mapInPandas(_searcher(spark.sparkContext.broadcast(by_length), k), "query_id long, vec_id long, score double"))
-    found = tops[0]
-    for t in tops[1:]:
-        found = found.unionByName(t)
-    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked = materialize(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    n, width = good.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    row = 8 * (width or 1)
+    of_queries = max(1, -(-asked.count() * row // QUERY_BYTES))
+    of_candidates = max(-(-n * row // CANDIDATE_BYTES), 2 * spark.sparkContext.defaultParallelism)
+    # a row's place, not its id, picks the block: an id that many rows repeat is no group
+    place = lambda blocks: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = asked.withColumn("q", place(of_queries)).select("vec_id", "embedding", "q", each(of_candidates).alias("c"))
+    right = good.withColumn("c", place(of_candidates)).select("vec_id", "embedding", each(of_queries).alias("q"), "c")
+
+    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        rows, lengths = [], c.embedding.map(len)
+        for length, part in q.groupby(q.embedding.map(len)) if len(q) else ():
+            there = c[lengths == length]
+            if len(there):
+                found = Search(part.vec_id.to_numpy(np.int64), _matrix(part.embedding), k)
+                for at in range(0, len(there), TILE_ROWS):
+                    tile = there[at : at + TILE_ROWS]
+                    found.add(tile.vec_id.to_numpy(np.int64), _matrix(tile.embedding))
+                rows += found.results()
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
-
-
-def _searcher(shared, k: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        searches = {length: Search(ids, x, k) for length, (ids, x) in shared.value.items()}
-        for pdf in batches:
-            lengths = pdf.embedding.map(len)
-            for length in set(lengths) & set(searches):
-                rows = pdf[lengths == length]
-                searches[length].add(rows.vec_id.to_numpy(np.int64), _matrix(rows.embedding))
-        rows = [r for s in searches.values() for r in s.results()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-    return search

@@ -7,24 +7,17 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import bounded_batches as small_batches
 from ..functions.scratch import written as materialize
 
 __all__ = ["bounded_sample", "crc_of_id", "fit_in_one_task", "materialize", "small_batches", "spare_name", "table"]
 
-#: Rows of an Arrow batch: texts can be long, so a batch is kept to a few MB in the usual case.
-BATCH_ROWS = 500
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, through Spark's reader only, so any Hadoop file system will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of each Arrow batch; the default of 10,000 rows of long text may not fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def spare_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, whatever extra columns it has."""
     taken = {c.lower() for c in df.columns}

@@ -205,7 +205,7 @@ def host_of(url: str = "url"):
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): of each host with two pages or more, its valid tokens as JSON rows (token, class, characters, whether its text is always the same)."""
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -354,7 +354,7 @@ def _constant(e: Element, root: Element, template: Template) -> bool:
 def extracted(pages: DataFrame) -> DataFrame:
     """pages with their main text in a column `text` (with leading underscores where there is one)."""
     spark = pages.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     made = materialize(templates(pages), "templates")
     made = made.select(F.col("host").alias("host_"), "template")
     if made.count() <= BROADCAST_HOSTS:

@@ -6,7 +6,7 @@ weights that remain are few and their number is bounded by 2**BITS: they are bro
 
 Labels: rows whose label is null, or whose document is missing, teach nothing; rows that repeat a
 doc_id all count. Null and empty texts have the bias feature alone and get the score it gives. With
-no usable labels at all the weights are empty and every score is 0.5.
+no usable labels at all the weights are empty and every score is 0.5. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -153,8 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got, words = [], _Places()
-        for pdf in batches:
-            got += [(i, features(t, words).astype(np.int32), y) for i, t, y in zip(pdf.doc_id, pdf.text, pdf.toxic, strict=True)]
+        for pdf in (b for b in batches if len(b)):
+            found = [features(t, words) for t in pdf.text]
+            # one array for a batch: many small ones would stay with the worker when the task has ended
+            whole, ends = np.concatenate(found).astype(np.int32), np.cumsum([len(x) for x in found])
+            got += zip(pdf.doc_id, np.split(whole, ends[:-1]), pdf.toxic, strict=True)
         got.sort(key=lambda x: (x[0], x[2], x[1].tobytes()))  # the order of rows must not matter
         at, w = fit([x[1:] for x in got])
         yield pd.DataFrame({"place": at, "weight": w})
@@ -169,8 +172,9 @@ def total(at: np.ndarray, w: np.ndarray, live: np.ndarray) -> float:
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", name: str = "score") -> DataFrame:
-    """docs with its toxicity (0 to 1) in a new column."""
+    """docs with its toxicity (0 to 1) in a new column `name` (with leading underscores where docs has one of that name)."""
     small_batches(docs.sparkSession)
+    name = spare_name(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -120,7 +120,7 @@ def first_pages(hashed: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """Archives (archive binary) of pages, in the shared folder."""
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     hashed = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes"))
     # Digests are joined with the few that repeat; html crosses the network once, and AQE splits a hot digest's partition.
@@ -179,7 +179,7 @@ def _finish(headers: dict, block: bytes, keep_payload: bool, total: int | None =
 
 def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
     """Rows of pages from archives; without payload bytes where only digests are wanted."""
-    small_batches(archives.sparkSession, 8)  # blobs of ARCHIVE_BYTES
+    small_batches(archives.sparkSession)  # blobs of ARCHIVE_BYTES
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
