@@ -1,21 +1,23 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 1. Every page is read into elements and text blocks. An element's token is its path of structural
-   tags with their classes and ids, digits made alike.
+   tags with their classes and ids, digits made alike (a long path goes on from a hash of its beginning).
 2. A token's occurrence vector over the pages of its host is kept as a fingerprint (xor of the hashes
    of page and count) with counts, so it is aggregated with partial results, however many pages a host
    has. Tokens of one host with equal vectors form an equivalence class.
 3. Classes are valid if they have support and their tokens occur once on their pages; valid tokens
-   nest by their paths into the host's template. The template's content slot is the token that holds
-   the article: by its tag or names, else by how much varying text it holds: the innermost slot that
-   has at least SLOT_SHARE of a page's varying text, in means over the pages of each slot's class.
-4. Extraction takes the blocks inside the page's content slot, without what is marked as menu, header,
+   nest by their paths into the host's template.
+4. A page's content slot is found by going down that nest: from a slot to the slot in it that holds at
+   least SLOT_SHARE of its varying text, in means over the pages of each slot's class, among the slots that
+   the page has. Constant slots and those marked as none of the article hold no varying text.
+5. Extraction takes the blocks inside the element at the slot, without what is marked as menu, header,
    footer, sidebar, notice, advert, form, script, style or reader comment, and without slots whose text
-   is the same on all of a host's pages, at least CONSTANT_PAGES distinct ones (outside article and main elements). An element named as the
-   article's goes before the template's slot; pages with neither are taken whole.
+   is the same on all of a host's pages, at least CONSTANT_PAGES distinct ones (but not in an article or main
+   element). Names are the last resort: an element named as the article's is looked for inside the slot, and on
+   pages without a template in the whole page; pages with neither are taken whole.
 
-Null html is the empty text. Pages with null or odd urls share one nameless host. Rows are
-independent, so repeated rows each get their text.
+Null html is the empty text. Pages with null or odd urls share one nameless host. Rows are independent,
+so repeated rows each get their text; pages of any length and depth are read whole.
 """
 
 from __future__ import annotations
@@ -33,21 +35,24 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, spare_name
 
-#: Share of a host's pages that a template token is on; distinct pages on which equal text counts as the template's; hosts up to which templates are broadcast.
-SUPPORT, CONSTANT_PAGES, BROADCAST_HOSTS = 0.5, 5, 100_000
-#: Share of a page's varying text that a slot without a name of an article's must hold to be the content.
-SLOT_SHARE = 0.8
+#: Share of a host's pages that a template token is on; distinct pages on which equal text counts as the template's; bytes of templates up to which they are broadcast.
+SUPPORT, CONSTANT_PAGES, BROADCAST_BYTES = 0.1, 5, 32 << 20
+#: Share of a slot's varying text that a slot in it must hold to be gone into; characters of a path that is kept in the clear.
+SLOT_SHARE, PATH_CHARS = 0.8, 400
 
 # Names of HTML elements by how they are laid out or meant.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 STRUCTURAL = frozenset("html body header nav main article section aside footer div form table ul ol dl h1 dialog figure".split())
-DROPPED = frozenset("nav footer aside form button select dialog svg canvas object audio video map menu datalist search math".split())
+DROPPED = frozenset("nav footer aside form button select dialog svg canvas object audio video map menu datalist search".split())
 NOT_IN_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-#: Words of a class, id or role that mark an element as no part of the article.
+#: Words of a class, id or role that mark an element as no part of the article, wherever they stand in a name; and whole names that do.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup share sharing social breadcrumb breadcrumbs menu nav navbar navigation sidebar footer comment comments commentlist respond reply replies disqus related recommended recommendations popup modal overlay widget toolbar pagination pager login search banner paywall complementary contentinfo dialog".split()
+    "ad ads advert adverts advertisement advertising adsense sponsored cookie cookies gdpr notice notices newsletter breadcrumb breadcrumbs menu nav navbar navigation sidebar footer comment comments commentlist replies disqus pagination complementary contentinfo".split()
+)
+MARKED_NAMES = frozenset(
+    "sponsor sponsors promo promotion consent alert subscribe subscription signup share sharing share-buttons social social-links respond reply related related-posts related-articles related-links recommended recommendations popup modal overlay widget widgets toolbar pager login search banner paywall dialog".split()
 )
 COMMENTS = frozenset("comment comments commentlist reply replies".split())
 #: Words that mark an element as the article's, where no element says so by its name.
@@ -59,11 +64,16 @@ _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _NAMES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
 
 
+def marked(names: list[str]) -> bool:
+    """Whether the classes, ids and roles of an element mark it as no part of the article."""
+    return any(x in MARKED_NAMES or not MARKS.isdisjoint(_NAMES.split(x)) for x in names)
+
+
 class Element:
-    __slots__ = ("tag", "names", "hidden", "parent", "path")
+    __slots__ = ("tag", "names", "marked", "hidden", "parent", "path")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
-        self.tag, self.parent, self.names, self.hidden = tag, parent, frozenset(), False
+        self.tag, self.parent, self.names, self.marked, self.hidden = tag, parent, frozenset(), False, False
         label = tag
         if attributes and tag in BLOCK | {"span"}:
             said = {}
@@ -71,13 +81,16 @@ class Element:
                 said.setdefault(m[1].lower(), entities.unescape(next((x for x in m.groups()[1:] if x is not None), "")).lower())
             names = [x for key in ("class", "id", "role", "itemprop") for x in said.get(key, "").split()]
             self.names = frozenset(w for x in names for w in _NAMES.split(x) if w)
+            self.marked = marked(names)
             self.hidden = "hidden" in said or said.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", said.get("style", "")))
             if names:
-                label = tag + "." + ".".join(sorted({re.sub(r"\d+", "0", x) for x in names})[:4])
+                label = tag + "." + ".".join(sorted({re.sub(r"[>.]", "_", re.sub(r"\d+", "0", x)) for x in names}))
         if parent is None:
             self.path = label
         elif tag in STRUCTURAL:
             self.path = f"{parent.path}>{label}" if parent.path else label
+            if len(self.path) > PATH_CHARS:
+                self.path = f"#{xxhash.xxh64_hexdigest(parent.path.encode('utf-8', 'surrogatepass'))}>{xxhash.xxh64_hexdigest(label.encode('utf-8', 'surrogatepass')) if len(label) > PATH_CHARS // 2 else label}"
         else:
             self.path = parent.path
 
@@ -171,7 +184,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
 def dropped(e: Element, root: Element) -> bool:
     """Whether an element between a block and the content root is none of the article."""
     while e is not root and e is not None:
-        if e.hidden or e.tag in DROPPED or (e.names & MARKS and e.tag not in ("html", "body", "article", "main")) or (e.tag == "article" and e.names & MARKS):
+        if e.hidden or e.tag in DROPPED or (e.marked and e.tag not in ("html", "body", "main")):
             return True
         if e.tag in ("header", "head") and root.tag not in ("article", "main"):
             return True
@@ -196,7 +209,7 @@ def tokens(page: str | None) -> list[tuple[str, int, int, int]]:
                 chars[e.path] = chars.get(e.path, 0) + len(text)
                 said.setdefault(e.path, xxhash.xxh3_64()).update(text.encode("utf-8", "surrogatepass"))
             e = e.parent
-    return [(p[:400], n, chars.get(p, 0), (said[p].intdigest() >> 1) if p in said else 0) for p, n in count.items()]
+    return [(p, n, chars.get(p, 0), (said[p].intdigest() >> 1) if p in said else 0) for p, n in count.items()]
 
 
 def host_of(url: str = "url"):
@@ -232,7 +245,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 class Template:
-    """A host's template: valid tokens nested by path, and its content slot."""
+    """A host's template: valid tokens in classes of equal occurrence, nested by path, with the varying text of each."""
 
     def __init__(self, text: str | None):
         rows = json.loads(text) if text else []
@@ -242,43 +255,43 @@ class Template:
         self.constant = frozenset(r["token"] for r in rows if r["same"])
         # nest: a token's parent is the longest valid token that is a prefix of its path
         self.parent: dict[str, str] = {}
+        self.inner: dict[str, list[str]] = {}
         known = {r["token"] for r in rows}
         for t in known:
             p = t
             while (p := p.rpartition(">")[0]) and p not in known:
                 pass
             self.parent[t] = p
-        best, self.slot = (0, 0), self._varying_slot(rows)
-        for r in rows:
-            rank = rank_of(r["token"].rpartition(">")[2])
-            if rank and not any(rank_of_mark(x) for x in r["token"].split(">")) and (rank, r["chars"]) > best and not r["same"]:
-                best, self.slot = (rank, r["chars"]), r["token"]
-
-    def _varying_slot(self, rows: list[dict]) -> str | None:
-        """The innermost token with SLOT_SHARE of the varying text of a page; None for the whole page."""
+            if t:
+                self.inner.setdefault(p, []).append(t)
         pages = {t: int(c.partition("/")[0]) for c, tokens in self.classes.items() for t in tokens}
         varying = {r["token"]: r["chars"] for r in rows}
-        inner: dict[str, list[str]] = {}
-        for t, p in self.parent.items():
-            if t:
-                inner.setdefault(p, []).append(t)
-        # constant and marked slots are taken out of all that they nest in, the outermost of them once
-        fixed = {t for t in varying if t in self.constant or any(rank_of_mark(x) for x in t.split(">"))}
-        for t in fixed:
+        # constant and marked slots are taken out of all that they nest in, the outermost of them once; where one
+        # that is named as the article's is constant, the host holds copies
+        self.fixed = {t for t in varying if t and (t in self.constant and not rank_of(t.rpartition(">")[2]) or any(map(rank_of_mark, t.split(">"))))}
+        for t in self.fixed:
             above = [t]
             while above[-1]:
                 above.append(self.parent[above[-1]])
-            if not fixed & {*above[1:]}:
+            if self.fixed.isdisjoint(above[1:]):
                 for p in above[1:]:
-                    varying[p] = varying.get(p, 0) - varying[t]
-        mean = lambda t: varying[t] / pages[t]
+                    if p in varying:
+                        varying[p] -= varying[t]
+        self.mean = {t: varying[t] / pages[t] for t in varying}
+
+    def slot(self, present: set[str]) -> str | None:
+        """The innermost slot, of those that a page has, on the way along most of the varying text; None for the whole page."""
         slot = ""
-        while (found := [t for t in inner.get(slot, ()) if t not in fixed]) and varying.get("", 0) > 0:
-            top = max(found, key=lambda t: (mean(t), t))
-            if mean(top) < SLOT_SHARE * mean(""):
+        while self.mean.get(slot, 0) > 0 and (found := [t for t in self.inner.get(slot, ()) if t in present and t not in self.fixed and not is_heading(t)]):
+            top = max(found, key=lambda t: (self.mean[t], t))
+            if self.mean[top] < SLOT_SHARE * self.mean[slot]:
                 break
             slot = top
-        return slot if slot.rpartition(">")[2].partition(".")[0] not in ("", "html", "body") else None
+        return None if slot.rpartition(">")[2].partition(".")[0] in ("", "html", "body") else slot
+
+
+def is_heading(token: str) -> bool:
+    return token.rpartition(">")[2].partition(".")[0] == "h1"
 
 
 def rank_of(label: str) -> int:
@@ -295,8 +308,8 @@ def rank_of(label: str) -> int:
 
 
 def rank_of_mark(label: str) -> bool:
-    tag, _, names = label.partition(".")
-    return tag in DROPPED or tag not in ("html", "body", "article", "main", "") and bool(set(_NAMES.split(names)) & MARKS)
+    tag, *names = label.split(".")
+    return tag in DROPPED or tag == "header" or tag not in ("html", "body", "main", "") and marked(names)
 
 
 @lru_cache(maxsize=512)
@@ -305,32 +318,37 @@ def _template(text: str | None) -> Template:
 
 
 def content_root(elements: list[Element], blocks: list[tuple[Element, str]], template: Template) -> Element:
-    """The page's content slot: its best element by name (of equals, the one at the template's slot), else its element at the slot, else the whole page."""
+    """The page's element at its template's content slot, or one in it that is named as the article's; without a slot the best by name, else the whole page."""
     volume: dict[int, int] = {}
     for e, text in blocks:
         x: Element | None = e
         while x is not None:
             volume[id(x)] = volume.get(id(x), 0) + len(text)
             x = x.parent
-    best, found = (0, 0, 0), elements[0]
-    for e in elements[1:]:
-        if e.tag not in STRUCTURAL:
-            continue
-        label = e.path.rpartition(">")[2]
-        rank = rank_of(label)
+    shown = [e for e in elements[1:] if e.tag in STRUCTURAL and not e.hidden and volume.get(id(e))]
+    slot = template.slot({e.path for e in shown}) if template.mean else None
+    at_slot = [e for e in shown if e.path == slot]
+    found = max(at_slot, key=lambda e: volume[id(e)]) if at_slot else elements[0]
+    best = (rank_of(found.path.rpartition(">")[2]), 0) if at_slot else (0, 0)
+    for e in shown:
         if e.tag == "article" and e.names & COMMENTS:
             continue  # a reader's comment, however long
-        if not rank or e.hidden or not volume.get(id(e)) or any(rank_of_mark(x) for x in e.path.split(">")):
-            continue
-        key = (rank, int(e.path[:400] == template.slot), volume[id(e)])
-        if key > best:
-            best, found = key, e
-    if found is elements[0] and template.slot:
-        at_slot = [e for e in elements[1:] if e.tag in STRUCTURAL and e.path[:400] == template.slot and not e.hidden and volume.get(id(e))]
-        found = max(at_slot, key=lambda e: volume[id(e)], default=found)
+        rank = rank_of(e.path.rpartition(">")[2])
+        if (rank, volume[id(e)]) > best and rank > best[0] - (not at_slot) and not _any_marked(e):
+            # what is named as the article's but lies beside the slot counts only without a slot
+            if not at_slot or e.inside(max(at_slot, key=lambda x: volume[id(x)])):
+                best, found = (rank, volume[id(e)]), e
     return found
 
 
+def _any_marked(e: Element | None) -> bool:
+    while e is not None:
+        if e.tag in DROPPED or e.tag == "header" or e.marked and e.tag not in ("html", "body", "main"):
+            return True
+        e = e.parent
+    return False
+
+
 def main_text(page: str | None, template: Template | None = None) -> str:
     template = template or _template(None)
     elements, blocks = parse(page or "")
@@ -345,7 +363,7 @@ def main_text(page: str | None, template: Template | None = None) -> str:
 def _constant(e: Element, root: Element, template: Template) -> bool:
     """Whether a slot between a block and the content root is constant; the root's own path (also that of a p in it) is not asked."""
     while e is not root and e is not None and e.path != root.path:
-        if e.path[:400] in template.constant:
+        if e.path in template.constant:
             return True
         e = e.parent
     return False
@@ -356,16 +374,15 @@ def extracted(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     made = materialize(templates(pages), "templates")
-    made = made.select(F.col("host").alias("host_"), "template")
-    if made.count() <= BROADCAST_HOSTS:
+    host, of_host, template, name = (spare_name(pages, x) for x in ("host", "host_", "template", "text"))
+    if (made.agg(F.sum(F.octet_length("template") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
         made = F.broadcast(made)
-    host, template, name = spare_name(pages, "host"), spare_name(pages, "template"), spare_name(pages, "text")
-    made = made.withColumnRenamed("template", template)
+    made = made.select(F.col("host").alias(of_host), F.col("template").alias(template))
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, of_host in batches:
-            yield pd.Series([main_text(p, _template(t)) for p, t in zip(page, of_host, strict=True)], dtype=object)
+        for page, said in batches:
+            yield pd.Series([main_text(p, _template(t)) for p, t in zip(page, said, strict=True)], dtype=object)
 
-    joined = pages.withColumn(host, host_of()).join(made, F.col(host) == F.col("host_"), "left")
-    return joined.withColumn(name, extract(F.col("html"), F.col(template))).drop(host, template, "host_")
+    joined = pages.withColumn(host, host_of()).join(made, F.col(host) == F.col(of_host), "left")
+    return joined.withColumn(name, extract(F.col("html"), F.col(template))).drop(host, template, of_host)

@@ -1,3 +1,5 @@
+import random
+
 from shardmend.llm import htmltext
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p><article>";</script></head>
@@ -74,3 +76,60 @@ def test_copies_keep_their_text(spark):
     rows = [(k, f"https://{host}.example.com/{k}", page.format(k)) for host, page in (("a", boxed), ("b", bare), ("c", moved)) for k in range(6)]
     got = {(r.url[8], r.text) for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {("a", "the text"), ("b", "bare text"), ("c", "the same text")}
+
+
+NAMELESS = '<html><body><div class="m{m}"><ul><li>{a}<li>{b}</ul></div><div class="q">{ad}</div><div class="k"><h1>{head}</h1>{paragraphs}</div><div class="z">(c) {host} {foot}</div></body></html>'
+
+
+def nameless(n=60, hosts=4, seed=3):
+    """Pages without article elements or telling names, and their articles by brute force: the text of the element k."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(n):
+        host = f"h{k % hosts}.example.com"
+        parts = [words(rng.randint(3, 80)) for _ in range(rng.randint(1, 6))]
+        head = words(4)
+        page = NAMELESS.format(m=k, a=words(1), b=words(1), ad=words(6), head=head, paragraphs="".join(f"<p>{p}" for p in parts), host=host, foot=words(3))
+        rows.append((k, f"https://{host}/{k}", page))
+        want[k] = "\n\n".join([head, *parts])
+    return rows, want
+
+
+def test_the_template_decides(spark):
+    """The content is found by equivalence classes alone; without them the same pages are taken whole."""
+    rows, want = nameless()
+    out = htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host_", "'y' AS host", "'z' AS template"))
+    assert out.columns == ["page_id", "url", "html", "host_", "host", "template", "text"]
+    assert {r.page_id: r.text for r in out.collect()} == want
+    assert all(htmltext.main_text(h) != want[k] and want[k] in htmltext.main_text(h) for k, _, h in rows)
+
+
+def test_classes_against_brute_force(spark):
+    """Equal occurrence vectors, support and single occurrence of every token, counted page by page."""
+    rows, _ = nameless(24, 2)
+    rows += [(100 + k, "https://h0.example.com/x", '<html><body><div class="w"><table><tr><td>t</table><table></table></div></body></html>') for k in range(3)]
+    got = {r.host: htmltext.Template(r.template) for r in htmltext.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in ("h0.example.com", "h1.example.com"):
+        vectors = {}
+        mine = [h for _, u, h in rows if host in u]
+        for n, h in enumerate(mine):
+            for token, times, *_ in htmltext.tokens(h):
+                vectors.setdefault(token, {})[n] = times
+        valid = {t: v for t, v in vectors.items() if len(v) > 1 and len(v) >= htmltext.SUPPORT * len(mine) and sum(x == 1 for x in v.values()) >= 0.9 * len(v)}
+        want = {}
+        for t, v in valid.items():
+            want.setdefault(tuple(sorted(v.items())), set()).add(t)
+        assert {frozenset(c) for c in got[host].classes.values()} == {frozenset(c) for c in want.values()}
+        assert all(p == max((x for x in valid if x == "" or t.startswith(x + ">")), key=len) for t, p in got[host].parent.items() if t)
+
+
+def test_only_what_is_marked_goes():
+    page = "<article><p>a</p><div class='related-work'><p>b</p></div><section class='banner-history'><p>c</p></section><p class=overlay-text>d</p><math>x+1</math><div class=related><p>no</p></div><div class='site-nav'>no</div></article>"
+    assert htmltext.main_text(page) == "a\n\nb\n\nc\n\nd\n\nx+1"
+
+
+def test_deep_pages_are_told_apart():
+    deep = "".join(f"<div class=level-name-{'abcdefghij'[k % 10] * 9}>" for k in range(300))
+    found = [t[0] for t in htmltext.tokens(f"<body>{deep}<div class=one>x</div><div class=two>y</div>")]
+    assert len(found) == len(set(found)) == 304 and max(map(len, found)) <= 2 * htmltext.PATH_CHARS
