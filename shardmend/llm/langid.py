@@ -6,6 +6,10 @@ a penalty for each switch labels the words; runs of equal labels are the spans.
 pass of array operations shows for most texts that one label throughout is the best path; only the
 others are walked word by word, with the same result.
 
+A word is a run of letters, with their marks, of one script; scripts that are written without spaces are
+read sign by sign. Texts and words of any length are read whole. Rows are independent, so ties, repeated
+rows and extra columns need no care.
+
 Null texts and texts without a letter are `und` with score 0. Words of a script that no learned
 language uses say nothing. With nothing to learn from, every text is `und`.
 """
@@ -13,110 +17,116 @@ language uses say nothing. With nothing to learn from, every text is `und`.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fit_in_one_task, small_batches
+from .common import crc_of_id, fit_in_one_task, small_batches, spare_name
 
-#: Rows learned from for each language at most (their whole texts), and languages at most (the most frequent).
-ROWS_PER_LANG, MAX_LANGS = 1200, 200
-#: Places of the n-gram table, length of n-grams, smoothing, bound of a word's score differences, cost of a switch.
-BUCKETS, ORDER, SMOOTH, CLIP, SWITCH = 1 << 16, 3, 0.5, 4.0, 9.0
+#: Rows learned from for each language and in all at most (their whole texts), and languages at most (the most frequent; more than
+#: any labelled corpus has): bounds of the labelled sample.
+ROWS_PER_LANG, TRAIN_ROWS, MAX_LANGS = 1200, 20_000, 2000
+#: Places of the n-gram table (fewer where places x languages would pass CELLS), length of n-grams, smoothing, bound of a word's score differences, cost of a switch.
+BUCKETS, CELLS, ORDER, SMOOTH, CLIP, SWITCH = 1 << 16, 1 << 24, 3, 0.5, 4.0, 9.0
 #: A language is a candidate for a script that at least this share of its learned words use.
 SCRIPT_SHARE = 0.01
-MEMO_WORDS = 400_000
+#: Bounds of a task's memos: words whose scores are kept (and bytes of their scores), n-grams, and letters of a word that is kept.
+MEMO_WORDS, MEMO_BYTES, MEMO_GRAMS, MEMO_LETTERS = 100_000, 16 << 20, 100_000, 40
 UND = "und"
 
-# First code of each range of a script, in order; codes below the first are Latin.
-SCRIPTS = (
-    (0x0000, "Latin"),
-    (0x0370, "Greek"),
-    (0x0400, "Cyrillic"),
-    (0x0530, "Armenian"),
-    (0x0590, "Hebrew"),
-    (0x0600, "Arabic"),
-    (0x0900, "Devanagari"),
-    (0x0980, "Bengali"),
-    (0x0B80, "Tamil"),
-    (0x0E00, "Thai"),
-    (0x10A0, "Georgian"),
-    (0x1100, "Hangul"),
-    (0x1E00, "Latin"),
-    (0x1F00, "Greek"),
-    (0x2000, "Other"),
-    (0x3040, "Kana"),
-    (0x3100, "Other"),
-    (0x3400, "Han"),
-    (0xA000, "Other"),
-    (0xAC00, "Hangul"),
-    (0xD7B0, "Other"),
-    (0xF900, "Han"),
-    (0xFB00, "Latin"),
-    (0xFB07, "Other"),
-    (0x20000, "Han"),
-)
-_STARTS = [a for a, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+# Words that begin the names of letters but name no script, and scripts that go by another name here.
+NO_SCRIPT = frozenset("FULLWIDTH HALFWIDTH MODIFIER MATHEMATICAL SUPERSCRIPT SUBSCRIPT CIRCLED SQUARED PARENTHESIZED DOUBLE-STRUCK SCRIPT BLACK-LETTER TURNED ROTATED FEMININE MASCULINE MICRO OHM KELVIN ANGSTROM COMBINING VARIATION".split())
+ALIASES = {"CJK": "Han", "IDEOGRAPHIC": "Han", "HIRAGANA": "Kana", "KATAKANA": "Kana", "KATAKANA-HIRAGANA": "Kana"}
+#: Scripts written without spaces between words.
+UNSPACED = frozenset("Han Kana THAI LAO MYANMAR KHMER TIBETAN JAVANESE BALINESE YI NUSHU TANGUT BOPOMOFO".split())
+
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
+#: A sign beyond the Latin ranges: only texts with one are looked at for scripts.
+_BEYOND = re.compile(r"[^\x00-\u02ff\u1e00-\u1eff\u2000-\u20cf]")
 
 
+@lru_cache(maxsize=20_000)
 def script_of(char: str) -> str:
-    return SCRIPTS[bisect_right(_STARTS, ord(char)) - 1][1]
+    """Script of a letter: the first word of its name that names one."""
+    if char < "\u0250":
+        return "LATIN"
+    for word in unicodedata.name(char, "OTHER").split():
+        if word not in NO_SCRIPT:
+            return ALIASES.get(word, word)
+    return "OTHER"
 
 
 def pieces(word: str) -> list[str]:
-    """Words of scripts written without spaces are scored sign by sign."""
-    return [*word] if script_of(word[0]) in ("Han", "Kana", "Thai") else [word]
+    """A run of letters and marks cut where its script changes; scripts written without spaces sign by sign."""
+    out, start, had = [], 0, None
+    for k, c in enumerate(word):
+        if unicodedata.category(c)[0] == "M":
+            continue  # a mark goes with its letter
+        s = script_of(c)
+        if had is not None and (s != had or s in UNSPACED):
+            out.append(word[start:k])
+            start = k
+        had = s
+    return [*out, word[start:]]
 
 
 def words_of(text: str) -> list[str]:
-    found = _WORD.findall(text.lower())
-    return found if text.isascii() else [p for w in found for p in (pieces(w) if w[0] > "෿" else (w,))]
+    low = text.lower()
+    if not _BEYOND.search(low):
+        return _PLAIN_WORD.findall(low)
+    return [p for w in _WORD.findall(low) for p in ((w,) if w.isascii() else pieces(w))]
 
 
 class _Grams(dict):
-    """n-gram -> place, remembered up to a bound."""
+    """n-gram -> place, remembered up to a bound, by one task."""
 
     def __missing__(self, gram: str) -> int:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_GRAMS:
             self.clear()
         n = self[gram] = xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % BUCKETS
         return n
 
-
-_grams = _Grams()
-
-
-def grams(word: str) -> list[int]:
-    """Places of the word's n-grams, its edges marked."""
-    w = f"<{word[:40]}>"
-    return [_grams[w[k : k + ORDER]] for k in range(len(w) - ORDER + 1)]
+    def of(self, word: str) -> list[int]:
+        """Places of the word's n-grams, its edges marked."""
+        w = f"<{word}>"
+        return [self[w[k : k + ORDER]] for k in range(len(w) - ORDER + 1)]
 
 
 def fit(texts: list[tuple[str, str]]) -> dict:
     """Model of (language, text) rows: log probabilities of n-gram places and the scripts of each language."""
-    langs = sorted({lang for lang, _ in texts})
-    logp, scripts = np.zeros((BUCKETS, len(langs)), np.float64), {}
+    langs, grams = sorted({lang for lang, _ in texts}), _Grams()
+    places = places_for(len(langs))
+    logp, scripts = np.zeros((places, len(langs)), np.float32), {}
+    by_lang: dict[str, list[str]] = {lang: [] for lang in langs}
+    for lang, text in texts:
+        by_lang[lang].append(text)
     for k, lang in enumerate(langs):
         words: Counter[str] = Counter()
-        for has, text in texts:
-            if has == lang:
-                words.update(words_of(text))
-        counts, used = np.full(BUCKETS, SMOOTH), Counter()
+        for text in by_lang[lang]:
+            words.update(words_of(text))
+        counts, used = np.full(places, SMOOTH), Counter()
         for w, n in words.items():
-            np.add.at(counts, grams(w), n)
+            np.add.at(counts, np.array(grams.of(w)) % places, n)
             used[script_of(w[0])] += n
         logp[:, k] = np.log(counts / counts.sum())
         for s, n in used.items():
             if n >= SCRIPT_SHARE * used.total():
                 scripts.setdefault(s, []).append(k)
-    return {"langs": langs, "logp": logp.astype(np.float32), "scripts": scripts}
+    return {"langs": langs, "logp": logp, "scripts": scripts}
+
+
+def places_for(langs: int) -> int:
+    """Places of the table for so many languages: a power of two, so that a hash is cut alike."""
+    return min(BUCKETS, 1 << max(8, (CELLS // max(1, langs)).bit_length() - 1))
 
 
 class Labeller:
@@ -124,13 +134,25 @@ class Labeller:
         self.langs, self.logp = model["langs"], model["logp"]
         self.out = {s: np.setdiff1d(np.arange(len(self.langs)), ks) for s, ks in model["scripts"].items()}
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((MEMO_WORDS, len(self.langs)))
+        self.grams = _Grams()
+        self.room = max(1, min(MEMO_WORDS, MEMO_BYTES // (8 * max(1, len(self.langs)))))
+        self.rows = np.zeros((self.room, len(self.langs)))
 
     def new_scores(self, words: list[str]) -> np.ndarray:
         """Log scores of the languages, one row for each word: the best language's 0, others at least -CLIP."""
-        at = [grams(w) for w in words]
+        at = [self.grams.of(w) for w in words]
         starts = np.r_[0, np.cumsum([len(a) for a in at])[:-1]]
-        s = np.add.reduceat(self.logp[[x for a in at for x in a]].astype(np.float64), starts, axis=0)
+        at = np.fromiter((x for a in at for x in a), np.int64) % max(1, len(self.logp))
+        ends, s = np.r_[starts[1:], len(at)], np.empty((len(words), len(self.langs)))
+        step = max(1, (4 << 20) // max(1, len(self.langs)))  # n-grams looked up at once
+        k = 0
+        while k < len(words):
+            z = max(k + 1, int(np.searchsorted(ends, starts[k] + step, "right")))
+            if ends[z - 1] - starts[k] <= step:
+                s[k:z] = np.add.reduceat(self.logp[at[starts[k] : ends[z - 1]]].astype(np.float64), starts[k:z] - starts[k], axis=0)
+            else:  # a single word of very many letters
+                s[k] = sum(self.logp[at[x : min(x + step, ends[k])]].astype(np.float64).sum(axis=0) for x in range(starts[k], ends[k], step))
+            k = z
         for k, w in enumerate(words):
             out = self.out.get(script_of(w[0]))
             if out is None:
@@ -142,10 +164,12 @@ class Labeller:
     def scores(self, words: list[str]) -> np.ndarray:
         """One row for each word."""
         memo = self.memo
-        if len(memo) + len(words) > MEMO_WORDS:
+        if len(memo) + len(words) > self.room:
             memo.clear()
-            if len(words) > MEMO_WORDS:
-                return self.new_scores(words)
+        if len(words) > self.room or max(map(len, words)) > MEMO_LETTERS:
+            distinct = list(dict.fromkeys(words))
+            at, found = dict(zip(distinct, range(len(distinct)), strict=True)), self.new_scores(distinct)
+            return found[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
         new = [w for w in dict.fromkeys(words) if w not in memo]
         if new:
             self.rows[len(memo) : len(memo) + len(new)] = self.new_scores(new)
@@ -220,8 +244,9 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANG) -> dict:
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return {"langs": [], "logp": np.zeros((BUCKETS, 0), np.float32), "scripts": {}}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 30, int((1 << 30) * rows / r["count"]))))])[F.col("lang")]
-    sample = known.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) < share).limit(2 * rows * len(counts))
+    rows = min(rows, max(1, TRAIN_ROWS // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1 << 30, int((1 << 30) * rows / r["count"]))) for r in counts], "lang string, share long")
+    sample = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) < F.col("share")).select("lang", "text").limit(2 * rows * len(counts))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [(lang, text) for pdf in batches for lang, text in zip(pdf.lang, pdf.text, strict=True)]
@@ -238,9 +263,10 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANG) -> dict:
 
 
 def identified(docs: DataFrame, model: dict, text: str = "text", name: str = "language", with_spans: bool = True) -> DataFrame:
-    """docs with a struct column of lang_pred, score and spans (label, first word, end)."""
+    """docs with a struct column `name` of lang_pred, score and spans (label, first word, end); it has leading underscores where docs has one of that name."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    name = spare_name(docs, name)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS floats at most
 
     @F.pandas_udf("lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * with_spans)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -3,12 +3,14 @@
 One classifier sees the text's content (hashed words, stems and the make-up of its tokens), the other
 only metadata (language, source, length and layout). Both start from the labelled rows; in each round
 each view's confident guesses on unlabelled documents become labels of the other's training set. The
-two calibrated views are then combined, and score every document.
+two calibrated views are then combined, and score every document. Combination and threshold are fitted
+on a fifth of the labelled sample that neither view has learned from; held-out rows have no part in either.
 
 Learning uses a bounded sample of labelled and of unlabelled rows, of each the whole text; scoring
 covers all. Held-out rows (crc32 of doc_id mod 5 = 3) teach nothing. Null or empty texts have the
 metadata and bias features alone. With no labels, every score is 0.5. Null language, source and
-n_chars are values of their own; n_chars is measured, so the column may be missing or wrong.
+n_chars are values of their own; n_chars is measured, so the column may be missing or wrong. Texts of
+any length are read whole; rows are independent, so repeated rows and ties need no care.
 """
 
 from __future__ import annotations
@@ -27,18 +29,23 @@ from .common import bounded_sample, crc_of_id, fit_in_one_task, small_batches, s
 LABELLED_ROWS, UNLABELLED_ROWS, ROUNDS, GIVEN = 6000, 4000, 3, 300
 CONFIDENT = 0.95
 BITS = 18
-#: Below the even odds: losing a clean document costs more than keeping a poor one.
-THRESHOLD = 0.25
-MEMO_WORDS = 300_000
+#: The threshold that is learned is the largest of these at which at most LOST of the clean rows kept from learning fall below it.
+THRESHOLDS, LOST = (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02), 0.005
+#: Bounds of a worker's memo of words: entries, and characters in all (some 12 MB).
+MEMO_WORDS, MEMO_CHARS = 60_000, 1 << 20
 _MASK = (1 << BITS) - 1
 
 
 class _Word(dict):
     """Token -> place, remembered up to a bound."""
 
+    chars = 0
+
     def __missing__(self, token: str) -> int:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_WORDS or self.chars > MEMO_CHARS:
             self.clear()
+            self.chars = 0
+        self.chars += len(token)
         n = self[token] = 64 + xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 64)
         return n
 
@@ -74,7 +81,7 @@ def content_view(text: str | None) -> np.ndarray:
 
 
 def metadata_view(lang: str | None, source: str | None, text: str | None) -> np.ndarray:
-    """Places of the metadata features: language, source, length and layout, none of the words."""
+    """Places of the metadata features: language, source, length in characters, words and lines; nothing of what the text says."""
     text = text or ""
     n, lines = len(text), text.count("\n") + 1
     words = text.count(" ") + lines
@@ -85,11 +92,11 @@ def metadata_view(lang: str | None, source: str | None, text: str | None) -> np.
         f"size={size}",
         f"lines={min(lines, 64).bit_length()}",
         f"line={(n // lines).bit_length()}",
-        f"word={min(40, 2 * n // words)}",
-        f"stops={_level(4 * text.count('.') / words)}",
-        f"bars={_level(4 * text.count('|') / words)}",
-        f"signs={_level(sum(map(text.count, '#$%&*')) / (3 * words))}",
+        f"words={words.bit_length()}",
+        f"spaced={min(40, 2 * n // words)}",
+        f"blank={_level(sum(not x.strip() for x in text.splitlines()) / lines)}",
         f"lang,size={lang},{size}",
+        f"source,size={source},{size}",
     )
     return np.unique(np.array([0, *(_word[f"\2{v}"] for v in values)], np.int64))
 
@@ -141,14 +148,20 @@ def calibrate(sums: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple
     return (float(b[0]), float(b[1])) if b[0] > 0 else (1.0, 0.0)
 
 
-def cotrain(content: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> tuple[View, View, tuple[float, float, float], list[int]]:
-    """(content view, metadata view, weights of both and offset in the combination, pseudo-labels given in each round).
+def cotrain(content: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> tuple[View, View, tuple[float, float, float, float], list[int]]:
+    """(content view, metadata view, weights of both and offset in the combination and its threshold, pseudo-labels given in each round).
 
     labels: 0, 1, or -1 for unlabelled rows.
     """
     rng = np.random.default_rng(seed)
     views = [content, meta]
+    known = rng.permutation(np.flatnonzero(labels >= 0))
+    apart = known[: len(known) // 5]
+    if len(set(labels[apart].tolist())) < 2:
+        apart = known[:0]
     own = [labels.copy(), labels.copy()]  # what each view is taught: labels and the other's guesses
+    for taught in own:
+        taught[apart] = -2
     models = [View(), View()]
     given = []
     for turn in range(rounds + 1):
@@ -160,7 +173,7 @@ def cotrain(content: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarra
         new = 0
         for v in range(2):
             other = 1 - v
-            open_ = np.flatnonzero(own[other] < 0)
+            open_ = np.flatnonzero(own[other] == -1)
             if not len(open_):
                 continue
             p = models[v].scores([views[v][k] for k in open_])
@@ -173,17 +186,23 @@ def cotrain(content: list[np.ndarray], meta: list[np.ndarray], labels: np.ndarra
         if not new:
             break
     # the combination is fitted to true labels alone, in their own proportions: keeping a clean document comes first
-    at = np.flatnonzero(labels >= 0)
-    logit = lambda m, rows: m.slope * m.sums(rows) + m.offset
-    a, b = logit(models[0], [content[k] for k in at]), logit(models[1], [meta[k] for k in at])
-    y = labels[at]
-    x, c = np.stack([a, b, np.ones(len(at))], 1), np.array([0.5, 0.5, 0.0])
+    at = apart if len(apart) else np.sort(known)
+    x = _logits(models, content, meta, at)
+    y, c = labels[at], np.array([0.5, 0.5, 0.0])
     if 0 < y.sum() < len(y):
         for _ in range(40):
             p = _sigmoid(x @ c)
             step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.eye(3), x.T @ (p - y) + (c - np.array([0.5, 0.5, 0.0])))
             c = c - np.clip(step, -1, 1)
-    return models[0], models[1], tuple(c.tolist()), given
+    clean = np.sort(_sigmoid(x @ c)[y == 1])
+    threshold = next((t for t in THRESHOLDS if (clean < t).sum() <= LOST * len(clean)), THRESHOLDS[-1])
+    return models[0], models[1], (*c.tolist(), threshold), given
+
+
+def _logits(models: list[View], content: list[np.ndarray], meta: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Calibrated logits of both views and a one, of the rows at these places."""
+    a, b = (m.slope * m.sums([rows[k] for k in at]) + m.offset for m, rows in zip(models, (content, meta), strict=True))
+    return np.stack([a, b, np.ones(len(at))], 1)
 
 
 def _views_of(pdf: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -208,25 +227,28 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, unl
         y = np.array([r[1] for r in got], np.int64)
         if not {0, 1} <= {*y.tolist()}:
             return
-        one, two, (a, b, c), given = cotrain([r[2] for r in got], [r[3] for r in got], y)
+        one, two, (a, b, c, threshold), given = cotrain([r[2] for r in got], [r[3] for r in got], y)
         for view, m, k in ((0, one, a), (1, two, b)):
             at = np.flatnonzero(m.w)
             yield pd.DataFrame({"view": view, "place": at, "weight": m.w[at] * m.slope * k})
-        yield pd.DataFrame({"view": [2], "place": [sum(given)], "weight": [a * one.offset + b * two.offset + c]})
+        yield pd.DataFrame({"view": [2, 3], "place": [sum(given), 0], "weight": [a * one.offset + b * two.offset + c, threshold]})
 
     got = fit_in_one_task(taught.unionByName(free.select(taught.columns)), learn, "view int, place long, weight double")
-    out = {"views": [np.zeros(1 << BITS), np.zeros(1 << BITS)], "offset": 0.0, "given": 0}
+    out = {"views": [np.zeros(1 << BITS), np.zeros(1 << BITS)], "offset": 0.0, "given": 0, "threshold": 0.5}
     for v, place, weight in got:
         if v == 2:
             out["offset"], out["given"] = weight, place
+        elif v == 3:
+            out["threshold"] = weight
         else:
             out["views"][v][place] = weight
     return out
 
 
 def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """docs with its quality (0 to 1) in a new column."""
+    """docs with its quality (0 to 1) in a new column `name` (with leading underscores where docs has one of that name)."""
     small_batches(docs.sparkSession)
+    name = spare_name(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -240,6 +262,7 @@ def scored(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
     return docs.withColumn(name, score(F.col("lang"), F.col("source"), F.col("text")))
 
 
-def kept(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+def kept(docs: DataFrame, model: dict) -> DataFrame:
+    """docs whose quality reaches the threshold learned, with its own columns."""
     name = spare_name(docs, "quality_score")
-    return scored(docs, model, name).where(F.col(name) >= threshold).drop(name)
+    return scored(docs, model, name).where(F.col(name) >= model["threshold"]).drop(name)

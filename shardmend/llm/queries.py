@@ -63,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     out = quality.scored(docs, model)
-    return out.select("doc_id", (crc_of_id() % 5 == 3).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("keep"))
+    return out.select("doc_id", (crc_of_id() % 5 == 3).alias("held_out"), "score", (F.col("score") >= model["threshold"]).cast("int").alias("keep"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -146,3 +146,36 @@ def test_letters_are_counted_over_whole_texts():
     """A share of a quarter, also where every fourth character is a letter."""
     places = quality.content_view("a1. " * 4000)
     assert quality._word["\0letters=3"] in places and quality._word["\0letters=11"] not in places
+
+
+def test_scripts_and_whole_words():
+    """Scripts are told apart by the names of letters, runs are cut where they change, marks stay with their letters, and no word is cut short."""
+    for text, want in (("ગુજરાતી ਪੰਜਾਬੀ తెలుగు ಕನ್ನಡ മലയാളം", ["GUJARATI", "GURMUKHI", "TELUGU", "KANNADA", "MALAYALAM"]), ("ភាសា አማርኛ ᏣᎳᎩ ພາສາ ၏", ["KHMER", "ETHIOPIC", "CHEROKEE", "LAO"])):
+        assert [s for s in dict.fromkeys(langid.script_of(w[0]) for w in langid.words_of(text))][: len(want)] == want
+    assert langid.words_of("हिन्दी") == ["हिन्दी"]
+    assert langid.words_of("Spark数据です123") == ["spark", "数", "据", "で", "す"]
+    assert len(langid._Grams().of("ab" * 500)) == 1000
+    model = langid.fit([("aa", "ab" * 30), ("bb", "xy" * 30)])
+    assert langid.Labeller(model).label("z" * 60 + "xy" * 4000)[0] == "bb"
+
+
+def test_many_languages_are_kept(spark):
+    rows = [(k, f"w{chr(97 + k % 26)}{chr(97 + k // 26)} " * 5, f"l{k // 2}") for k in range(640)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model["langs"]) == {lang for i, _, lang in rows if crc(i) % 4 != 2} and model["logp"].size <= langid.CELLS
+
+
+def test_columns_of_the_same_name_stay(spark):
+    docs = spark.createDataFrame([(1, "the of and", "en", "a", 0.25, "kept")], "doc_id long, text string, lang string, source string, score double, language string")
+    none = langid.train(docs.limit(0))
+    for out, new in (
+        (toxicity.scored(docs, (np.array([], np.int64), np.array([]))), "_score"),
+        (quality.scored(docs, quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))), "_score"),
+        (langid.identified(docs, none), "_language"),
+    ):
+        assert out.columns == [*docs.columns, new] and out.first()["score"] == 0.25 and out.first()["language"] == "kept"
+
+
+def test_metadata_view_sees_no_content():
+    a, b = "one two three.\nfour", "##1 $w| thr&e|\nfo*r"
+    assert (quality.metadata_view("en", "s", a) == quality.metadata_view("en", "s", b)).all()
