@@ -30,6 +30,8 @@ from .common import materialize, small_batches
 MIN_REVISIT_BYTES = 100
 #: Bytes of a block in one record, of a chunk in the transfer framing, and of an archive (the last record may pass it).
 SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 32 << 10, 8 << 10, 4 << 20
+#: Digests (some 100 bytes each) up to which the list of repeated payloads is broadcast.
+BROADCAST_ROWS = 300_000
 #: Fixed stamp of records, so that repeated writes give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 _CRLF = b"\r\n"
@@ -123,8 +125,11 @@ def write_archives(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     hashed = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes"))
-    # Digests are joined with the few that repeat; html crosses the network once, and AQE splits a hot digest's partition.
-    roles = hashed.join(first_pages(hashed).hint("merge"), (F.col("digest") == F.col("first_digest")) & (F.col("bytes") >= MIN_REVISIT_BYTES), "left")
+    # Digests are joined with the few that repeat: a list short enough is broadcast, so that no html crosses the network; of a
+    # longer one AQE splits a hot digest's partition.
+    firsts = materialize(first_pages(hashed), "firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts.hint("merge")
+    roles = hashed.join(firsts, (F.col("digest") == F.col("first_digest")) & (F.col("bytes") >= MIN_REVISIT_BYTES), "left")
     revisit = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))
     rows = roles.select("page_id", "url", "payload", "digest", revisit.alias("refers_to"), F.monotonically_increasing_id().alias("serial"))
 
