@@ -119,13 +119,15 @@ def next_signature(data: bytes, at: int) -> int:
     return min(found, default=len(data))
 
 
-def scan_local(data: bytes) -> list[ZipEntry]:
-    """Local headers from front to back. A known payload is skipped; an unsized entry runs to the next signature."""
-    out, at = [], data.find(_LFH)
+def local_headers(data: bytes, most: int | None = None) -> Iterator[ZipEntry | None]:
+    """Local headers from front to back, None for each signature that starts none. A known payload is skipped; an unsized entry runs to the next signature."""
+    stop = len(data) if most is None else min(most, len(data))
+    at = data.find(_LFH, 0, stop)
     while at >= 0:
         e = local_record(data, at)
         if e is None:
-            at = data.find(_LFH, at + 1)
+            yield None
+            at = data.find(_LFH, at + 1, stop)
             continue
         if e.compressed and e.data_offset + e.compressed <= len(data):
             nxt = e.data_offset + e.compressed
@@ -135,9 +137,12 @@ def scan_local(data: bytes) -> list[ZipEntry]:
                 crc, comp, size = struct.unpack_from("<III", data, nxt + 4)
                 if comp == nxt - e.data_offset:
                     e = e._replace(crc32=crc, compressed=comp, size=size)
-        out.append(e)
-        at = data.find(_LFH, max(nxt, at + 4))
-    return out
+        yield e
+        at = data.find(_LFH, max(nxt, at + 4), stop)
+
+
+def scan_local(data: bytes) -> list[ZipEntry]:
+    return [e for e in local_headers(data) if e is not None]
 
 
 def parse_zip(data: bytes) -> ZipParse:
@@ -152,7 +157,7 @@ def parse_zip(data: bytes) -> ZipParse:
     return ZipParse(eocd, cd, size, count, by_size, base, central, scan_local(data))
 
 
-def surviving_chains(data: bytes, limit: int = 4096) -> list[list[ZipEntry]]:
+def surviving_chains(data: bytes, limit: int = 262_144) -> list[list[ZipEntry]]:
     """Every maximal chain of directory records in the bytes."""
     out, at = [], data.find(_CDFH)
     while at >= 0 and len(out) < limit:
@@ -367,19 +372,19 @@ def salvage_gzip(data: bytes, limit: int = MAX_INFLATE) -> list[Segment]:
         if body:
             out.append(Segment("Unverified", b"", at, min(end, len(data)), body))
             left -= len(body)
-        out += [Segment("StoredBlock", b"", a, b, data[a + 5 : b]) for a, b in stored_blocks(data, end, nxt if nxt >= 0 else len(data))] if not whole else []
+        out += [Segment("StoredBlock", b"", a, b, data[a + 4 : b]) for a, b in stored_blocks(data, end, nxt if nxt >= 0 else len(data))] if not whole else []
         at = nxt
     return out
 
 
 def stored_blocks(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Stretches that look like stored deflate blocks: a zero type, LEN and its complement, 8 bytes or more."""
+    """(offset of LEN, end) of stretches that look like stored deflate blocks: LEN, its complement, and 8 bytes or more. The block's type shares its byte with bits before it, so it tells nothing."""
     p = lo
-    while p + 5 <= hi:
-        n, c = struct.unpack_from("<HH", data, p + 1)
-        if data[p] & 0xFE == 0 and n ^ c == 0xFFFF and n >= 8 and p + 5 + n <= hi:
-            yield p, p + 5 + n
-            p += 5 + n
+    while p + 4 <= hi:
+        n, c = struct.unpack_from("<HH", data, p)
+        if n ^ c == 0xFFFF and n >= 8 and p + 4 + n <= hi:
+            yield p, p + 4 + n
+            p += 4 + n
         else:
             p += 1
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytesio as b
+from ..functions import zipview
 from .members import _per_file
 
 MAX_FINDINGS, INFLATE_LIMIT = 1000, 64 << 20
@@ -36,8 +37,7 @@ def _magic(fmt: str, data: bytes) -> Iterator[tuple]:
 
 
 def encrypted(data: bytes) -> bool:
-    p = b.parse_zip(data)
-    return any(e.flags & 0x41 for e in p.central or p.local)
+    return any(e.flags & 0x41 for e, _, _ in zipview.view(data).entries)
 
 
 def _zip(data: bytes, strict: bool) -> Iterator[tuple]:
@@ -91,15 +91,15 @@ def _gzip(data: bytes, strict: bool) -> Iterator[tuple]:
     if n < 18:
         yield "GZ_TRUNC_001", None, 0, n, None
         return
-    if data[:2] != b"\x1f\x8b":
+    damaged = data[:2] != b"\x1f\x8b"
+    if damaged:  # what follows is still read
         yield "GZ_MAGIC_001", None, 0, 2, None
-        return
     if data[2] != 8:
         yield "GZ_CM_001", None, 2, 3, None
         return
     at = 0
     while at < n:
-        head = b.gzip_header(data, at)
+        head = b.header_length(data, 0) if at == 0 and damaged else b.gzip_header(data, at)
         if head is None:
             if at == 0 or data[at : at + 2] == b"\x1f\x8b":
                 yield "GZ_TRUNC_001", None, at, n, None

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import bytesio as b
+from ..functions import zipview
 from ..functions.scratch import bounded_batches
 
 SCHEMA = "file_id string, ordinal int, path string, raw_name binary, size long, compressed_size long, offset long, encrypted boolean, stored_crc32 long, is_link boolean, link_target string"
@@ -20,8 +21,7 @@ def _name(raw: bytes) -> str:
 def members_of(fmt: str, name: str, data: bytes) -> Iterator[tuple]:
     """Rows of SCHEMA after file_id and ordinal."""
     if fmt == "zip":
-        p = b.parse_zip(data)
-        for e in p.central or p.local:
+        for e, _, _ in zipview.view(data).entries:
             yield _name(e.name), e.name, e.size, e.compressed, e.offset, bool(e.flags & 0x41), e.crc32, e.link, None
     elif fmt == "tar":
         for m in b.walk_tar(data)[0]:

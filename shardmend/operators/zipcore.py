@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytesio as b
-from ..functions import exprs
+from ..functions import exprs, zipview
 from .members import _per_file
 
 ENTRY = "file_id string, source string, ordinal int, record_offset long, local_header_offset long, raw_name binary, name string, name_valid_utf8 boolean, method int, flags int, crc32 long, compressed_size long, size long, data_offset long, zip64 boolean, is_link boolean"
@@ -167,22 +167,20 @@ def the_surviving(chains: DataFrame) -> DataFrame:
 
 def containers(files: DataFrame) -> DataFrame:
     """(file_id, base, end, cd_start, eocd, records) of archives stored inside an archive: each end record whose directory and headers fit one base."""
+    return _per_file(files, "file_id string, base long, end long, cd_start long, eocd long, records int", lambda r: zipview.embedded(r.content or b""))
 
-    def rows(r) -> Iterator[tuple]:
-        data = r.content or b""
-        seen, at = set(), data.find(b"PK\x05\x06")
-        while at >= 0:
-            if at + 22 <= len(data):
-                count, size, cd = int.from_bytes(data[at + 10 : at + 12], "little"), int.from_bytes(data[at + 12 : at + 16], "little"), int.from_bytes(data[at + 16 : at + 20], "little")
-                base, end = at - size - cd, at + 22 + int.from_bytes(data[at + 20 : at + 22], "little")
-                if base >= 0 and base not in seen and end <= len(data) and not (base == 0 and end == len(data)):
-                    chain = b.central_chain(data, base + cd)
-                    if len(chain) == count and all((h := b.local_record(data, base + e.offset)) and h.name == e.name for e in chain):
-                        seen.add(base)
-                        yield base, end, base + cd, at, count
-            at = data.find(b"PK\x05\x06", at + 1)
 
-    return _per_file(files, "file_id string, base long, end long, cd_start long, eocd long, records int", rows)
+VIEW = "file_id string, declared int, from_directory int, from_scan int, directory string, shift long, segments int, moved int, nested int, rejected int, complete boolean, limits array<string>"
+
+
+def views(files: DataFrame, limits: zipview.Limits = zipview.Limits()) -> DataFrame:  # noqa: B008
+    """How each archive's entries were found: directory, map of shifts, embedded archives, scan, limits reached."""
+
+    def rows(r):
+        v = zipview.view(r.content or b"", limits)
+        yield v.declared, v.from_directory, len(v.entries) - v.from_directory, v.directory, v.shift, v.segments, v.moved, v.nested, v.rejected, v.complete, list(v.limits)
+
+    return _per_file(files, VIEW, rows)
 
 
 def owners(points: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("file_id", "offset")) -> DataFrame:
@@ -192,22 +190,15 @@ def owners(points: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("file_id
     return points.join(inner, [*keys], "left")
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """(file_id, ordinal, name, status, crc_expected, crc_actual, size, bytes) of each entry, located by the directory, else by its header."""
-    schema = "file_id string, ordinal int, name string, name_valid_utf8 boolean, status string, crc_expected long, crc_actual long, size long, bytes binary"
+def extracted(files: DataFrame, limits: zipview.Limits = zipview.Limits()) -> DataFrame:  # noqa: B008
+    """(file_id, ordinal, name, status, crc_expected, crc_actual, size, bytes, source) of each entry, of the directory's and those that only the scan tells of."""
+    schema = "file_id string, ordinal int, name string, name_valid_utf8 boolean, status string, crc_expected long, crc_actual long, size long, bytes binary, source string"
 
     def rows(r):
         data = r.content or b""
-        p = b.parse_zip(data)
-        at = {}
-        for e in p.local:
-            at.setdefault(e.name, e.offset)
-        for n, e in enumerate(p.central or p.local):
-            where = e.offset + p.base
-            if not (h := b.local_record(data, where)) or h.name != e.name:
-                where = at.get(e.name, where)
-            status, body, crc = b.extract_zip(data, e, where)
-            yield n, e.name.decode("utf-8", "replace"), _utf8(e.name), status, e.crc32, crc, e.size, body
+        for n, (e, where, source) in enumerate(zipview.view(data, limits).entries):
+            status, body, crc = ("BAD_LOCAL_HEADER", None, None) if where is None and not e.flags & 0x41 else b.extract_zip(data, e, where)
+            yield n, e.name.decode("utf-8", "replace"), _utf8(e.name), status, e.crc32, crc, e.size, body, source
 
     return _per_file(files, schema, rows)
 
