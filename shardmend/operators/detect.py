@@ -153,9 +153,10 @@ def _sqlite(data: bytes, strict: bool) -> Iterator[tuple]:
 
 
 def wal_findings(files: DataFrame) -> DataFrame:
-    """Findings of `<name>-wal` files joined with their databases: a bad magic, or salts that are not those of the first frame."""
-    wal = files.where(F.lower("name").endswith("-wal")).select(F.regexp_replace("name", "(?i)-wal$", "").alias("_db"), F.col("content").alias("_wal"))
-    rows = files.join(wal, F.col("name") == F.col("_db"))
+    """Findings of `<name>-wal` files joined with the databases beside them (by path where files have one): a bad magic, or salts that are not those of the first frame. 56 bytes of each cross the network."""
+    place = "path" if "path" in files.columns else "name"
+    wal = files.where(F.lower(place).endswith("-wal")).select(F.regexp_replace(place, "(?i)-wal$", "").alias("_db"), F.col("content").substr(1, 56).alias("_wal"))
+    rows = files.select("file_id", place).join(wal, F.col(place) == F.col("_db"))
     magic = F.hex(F.col("_wal").substr(1, 4))
     enough = F.length("_wal") >= 32
     bad = ~magic.isin("377F0682", "377F0683")
@@ -194,10 +195,27 @@ def detect(files: DataFrame, strict: bool = False) -> DataFrame:
     return _per_file(files, SCHEMA, rows)
 
 
+def scan(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Like detect, with `encrypted`, in one reading of the bytes: a file whose state ends its analysis is one row with that flag and no rule."""
+
+    def rows(r):
+        data = r.content or b""
+        if r.engine_format == "zip" and encrypted(data):
+            yield -2, None, None, None, None, None, True
+            return
+        for n, f in enumerate(findings_of(r.engine_format, data, strict)):
+            if n >= MAX_FINDINGS:
+                return
+            yield (n, *f, False)
+
+    return _per_file(files, f"{SCHEMA}, encrypted boolean", rows)
+
+
 def mismatches(compared: DataFrame) -> DataFrame:
-    """Findings of files whose hash is known and differs."""
+    """Findings of files whose hash is known and differs; of their length, where they have that column, so that no bytes are needed."""
     rows = compared.where("status = 'mismatch'")
-    return rows.select("file_id", F.lit(-1).alias("seq"), F.lit("INTEGRITY_HASH_001").alias("rule_id"), F.lit(None).cast("string").alias("member"), F.lit(0).cast("long").alias("start"), F.length("content").cast("long").alias("end"), F.lit(1.0).alias("confidence"))
+    end = F.col("length") if "length" in rows.columns else F.length("content")
+    return rows.select("file_id", F.lit(-1).alias("seq"), F.lit("INTEGRITY_HASH_001").alias("rule_id"), F.lit(None).cast("string").alias("member"), F.lit(0).cast("long").alias("start"), end.cast("long").alias("end"), F.lit(1.0).alias("confidence"))
 
 
 def capped(found: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:

@@ -6,6 +6,7 @@ repair did not make (a manifest's hash, or a member's own checksum that was ther
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytesio as b
+from ..functions import ed25519
 from ..functions.dims import strategy_dim
 from .members import _per_file
 
@@ -194,23 +196,43 @@ def plan(findings: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(strategy_dim(findings.sparkSession)), "strategy")
 
 
-def select(planned: DataFrame, passes: int = PASSES) -> DataFrame:
-    """(file_id, strategy, pass, ...): the first strategies of each file by priority, then registration. Files without findings have none."""
+def select(planned: DataFrame, passes: int | None = PASSES) -> DataFrame:
+    """(file_id, strategy, pass, ...): the first strategies of each file by priority, then registration; all of them without a number of passes. Files without findings have none."""
     once = planned.dropDuplicates(["file_id", "strategy"]).drop("rule_id", "start", "end")
     w = Window.partitionBy("file_id").orderBy(F.desc("priority"), "reg_ord")
-    return once.withColumn("pass", F.row_number().over(w)).where(F.col("pass") <= passes)
+    ranked = once.withColumn("pass", F.row_number().over(w))
+    return ranked if passes is None else ranked.where(F.col("pass") <= passes)
+
+
+def forced(files: DataFrame, strategy: str) -> DataFrame:
+    """One named strategy for every file, whatever its findings. Raises ValueError for a name that is none."""
+    if strategy not in APPLY:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    one = strategy_dim(files.sparkSession).where(F.col("strategy") == strategy)
+    return files.select("file_id").crossJoin(F.broadcast(one)).withColumn("pass", F.lit(1))  # one row on the right
+
+
+#: Files with chosen strategies (their ids and names, some 100 bytes each) up to which the list is broadcast.
+BROADCAST_ROWS = 300_000
 
 
 def staged(files: DataFrame, selected: DataFrame) -> DataFrame:
-    """selected with the output bytes of each strategy, always of the original bytes; null where it abstains."""
-    rows = files.select("file_id", "name", "content", "engine_format").join(selected, "file_id")
+    """selected with the output bytes of each strategy, always of the original bytes; null where it abstains.
+
+    A file's strategies are joined as one list, so that its bytes are read once, and cross no network where the list is short.
+    """
+    lists = selected.groupBy("file_id").agg(F.sort_array(F.collect_list("strategy")).alias("strategies"))
+    short = selected.count() <= BROADCAST_ROWS
+    hinted = F.broadcast if short else lambda df: df
+    rows = files.select("file_id", "name", "content", "engine_format").join(hinted(lists), "file_id")
 
     def run(r) -> Iterator[tuple]:
-        got = APPLY[r.strategy](r.content or b"")
-        yield r.strategy, None if got is None else got[0], got is not None and got[1]
+        for name in r.strategies:
+            got = APPLY[name](r.content or b"")
+            yield name, None if got is None else got[0], got is not None and got[1]
 
-    made = _per_file(rows, "file_id string, strategy string, staged binary, did boolean", run, ("file_id", "name", "content", "engine_format", "strategy"))
-    return selected.join(made, ["file_id", "strategy"])
+    made = _per_file(rows, "file_id string, strategy string, staged binary, did boolean", run, ("file_id", "name", "content", "engine_format", "strategies"))
+    return made.join(hinted(selected), ["file_id", "strategy"])
 
 
 def keep_gate(rows: DataFrame) -> DataFrame:
@@ -272,17 +294,46 @@ def entry_evidence(output_entries: DataFrame, attested: DataFrame) -> DataFrame:
     return rows.withColumns({"existence_evidence": F.when(exists_, "source directory").otherwise("none"), "content_evidence": F.when(content, "checksum").otherwise("none"), "verdict": verdict, "trusted": exists_ & content}).drop("_a")
 
 
-def manifest_json(reports: DataFrame, files: DataFrame) -> DataFrame:
-    """reports with a canonical JSON manifest and its digest: both hashes, strategy, guarantees. Not signed (no signing library): signature is null."""
+def manifest_json(reports: DataFrame, files: DataFrame, key: bytes | None = None, tool: str = "shardmend") -> DataFrame:
+    """reports (file_id, output, strategy, guarantee) with a canonical JSON manifest, its digest, and (with a key of 32 bytes) its Ed25519 signature, public key and key id.
+
+    The signature is over the manifest's bytes; without a key it is null.
+    """
     rows = reports.join(files.select("file_id", "name", F.sha2("content", 256).alias("source_sha256"), F.length("content").alias("source_bytes")), "file_id")
     n = F.coalesce(F.length("output"), F.lit(0))
     count = lambda g: F.when(F.col("guarantee") == g, n).otherwise(0)
+    lost = F.greatest(F.col("source_bytes") - n, F.lit(0))
     body = F.struct(
-        "file_id", "name", F.lit("1").alias("manifest_version"), "source_sha256", "source_bytes", F.sha2("output", 256).alias("output_sha256"), "strategy", "guarantee",
-        F.struct(count("Verified").alias("verified_bytes"), count("Unverified").alias("unverified_bytes"), count("Lost").alias("lost_bytes")).alias("guarantees"),
+        "file_id", "name", F.lit("1").alias("manifest_version"), F.lit(tool).alias("tool"), "source_sha256", "source_bytes", F.sha2("output", 256).alias("output_sha256"), "strategy", "guarantee",
+        F.struct(count("Verified").alias("verified_bytes"), count("Unverified").alias("unverified_bytes"), lost.alias("lost_bytes")).alias("guarantees"),
     )
     js = F.to_json(body)
-    return rows.select("file_id", js.alias("manifest"), F.sha2(js, 256).alias("digest"), F.lit(None).cast("string").alias("signature"))
+    out = rows.select("file_id", js.alias("manifest"), F.sha2(js, 256).alias("digest"))
+    if key is None:
+        return out.withColumns({c: F.lit(None).cast("string") for c in ("signature", "public_key", "key_id")})
+    public = ed25519.public_key(key)
+
+    @F.pandas_udf("string")
+    def signed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: ed25519.sign(key, t.encode()).hex())
+
+    return out.withColumns({"signature": signed("manifest"), "public_key": F.lit(public.hex()), "key_id": F.lit(hashlib.sha256(public).hexdigest()[:16])})
+
+
+def manifest_verified(manifests: DataFrame) -> DataFrame:
+    """manifests (manifest, signature, public_key) with whether the signature holds; false where one is missing or odd."""
+
+    @F.pandas_udf("boolean")
+    def holds(text: pd.Series, signature: pd.Series, public: pd.Series) -> pd.Series:
+        def one(t, s, k) -> bool:
+            try:
+                return ed25519.verify(bytes.fromhex(k), t.encode(), bytes.fromhex(s))
+            except (TypeError, ValueError, AttributeError):
+                return False
+
+        return pd.Series([one(*x) for x in zip(text, signature, public, strict=True)], dtype=bool)
+
+    return manifests.withColumn("signature_ok", holds("manifest", "signature", "public_key"))
 
 
 def carved(files: DataFrame) -> DataFrame:

@@ -117,7 +117,12 @@ def recoverability(findings: DataFrame, files: DataFrame) -> DataFrame:
     p = F.when(hopeless, F.least(p, F.lit(NONE_CEILING))).otherwise(F.greatest(F.lit(LOW_FLOOR), F.least(p, F.lit(1.0))))
     clean = F.col("n").isNull()
     probability = F.when(clean, 1.0).when(F.col("threat"), 0.0).otherwise(F.greatest(F.lit(0.0), p))
-    confidence = F.when(clean | F.col("threat"), 1.0).when(F.coalesce("capped", F.lit(False)), 0.6).otherwise(1.0)
+    confidence = F.when(clean | F.col("threat"), 1.0)
+    # what the scan could not see: a format that was not made out, bytes that were not read, findings beyond the cap
+    for name, value in (("unidentified", 0.3), ("unread", 0.4), ("capped", 0.6)):
+        if name in files.columns:
+            confidence = confidence.when(F.coalesce(name, F.lit(False)), value)
+    confidence = confidence.otherwise(1.0)
     factors = F.when(clean | F.col("threat"), F.array().cast("array<struct<name:string,weight:double>>")).otherwise(F.filter(F.array(*told), lambda x: x.isNotNull()))
     return r.select("file_id", probability.alias("probability"), exprs.recoverability_class(probability).alias("class"), confidence.alias("confidence"), factors.alias("factors"))
 

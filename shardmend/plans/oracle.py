@@ -20,6 +20,27 @@ _FINDINGS = f"""SELECT l_orderkey AS file_id, l_linenumber AS seq, l_suppkey * 1
     FROM lineitem JOIN {_RULES} r ON r.n = l_partkey % 117"""
 _ORDERS = """SELECT o_orderkey AS file_id, ['zip', 'tar', 'gzip', 'raw'][o_orderkey % 4 + 1] AS engine_format, o_orderkey % 9000 AS total_size,
     o_orderkey % 3 = 0 AS manifest_present, o_orderkey % 4 = 0 AS embedded, o_orderkey % 11 = 0 AS capped FROM orders"""
+# Which findings a strategy is for.
+_APPLIES = {
+    "bitflip": "manifest_present AND category = 'BitFlip'",
+    "tar-terminator-append": "engine_format = 'tar' AND (rule_id = 'TAR_TERM_001' OR category = 'Truncation')",
+    "tar-checksum-fix": "engine_format = 'tar' AND rule_id = 'TAR_UST_001'",
+    "gz-magic-restore": "engine_format = 'gzip' AND rule_id = 'GZ_MAGIC_001'",
+    "sevenz-signature-restore": "engine_format = 'seven_z' AND rule_id = '7Z_MAGIC_001'",
+    "gz-member-salvage": "engine_format = 'gzip'",
+    "gz-trailer-recompute": "engine_format = 'gzip' AND rule_id IN ('GZ_ICRC_001', 'GZ_ISIZE_001')",
+    "zip-rebuild": "engine_format = 'zip' AND (category = 'StructuralCorruption' OR regexp_matches(rule_id, '^ZIP_(CD|EOCD|LFH)_'))",
+    "tar-reorder": "engine_format = 'tar' AND category = 'BlockReorder'",
+    "tar-size-resync": "engine_format = 'tar' AND (rule_id IN ('TAR_SIZE_001', 'TAR_UST_001') OR category = 'StructuralCorruption')",
+    "zip-crc-fix": "engine_format = 'zip' AND rule_id = 'ZIP_CRC_001'",
+    "iso-sector": "engine_format = 'iso9660' AND category = 'MissingData'",
+    "tar-continuation-salvage": "engine_format = 'tar'",
+    "gz-partial-inflate": "engine_format = 'gzip' AND category = 'Truncation'",
+    "partial-extract": "category = 'Truncation'",
+    "forensic-carve": "engine_format = 'raw' AND severity = 'Catastrophic'",
+}
+_PLAN = " UNION ALL ".join(f"SELECT DISTINCT file_id, '{s}' AS strategy, {p} AS priority, '{r}' AS risk, {n} AS n FROM j WHERE {_APPLIES[s]}" for n, (s, p, _, r, _) in enumerate(dims.STRATEGIES))
+
 _CHANCE = f"""WITH f AS ({_FINDINGS}), o AS ({_ORDERS}),
     g AS (SELECT f.file_id, count(*) AS n,
             bool_and(category = 'BitFlip') AS flips, bool_and(rule_id = 'TAR_UST_001') AS tarsum,
@@ -127,7 +148,7 @@ SQL: dict[str, str] = {
             n AS (SELECT *, row_number() OVER (PARTITION BY doc_id // 100, lower(path) ORDER BY doc_id) AS r FROM r),
             s AS (SELECT *, CASE WHEN k = 3 THEN 'directory' WHEN path IS NULL THEN 'unsafe path' WHEN r > 1 THEN 'duplicate path' WHEN doc_id % 13 = 0 THEN 'crc_mismatch' END AS skipped FROM n)
         SELECT doc_id, CASE WHEN skipped IS NULL THEN path END AS path, skipped FROM s""",
-    "reference_rules": f"""WITH d AS (SELECT doc_id, 15 + octet_length(encode(text)) AS n FROM {_TEXT} WHERE length(text) >= 40)
+    "reference_rules": f"""WITH d AS (SELECT doc_id, 15 + octet_length(encode(CASE WHEN length(text) < 40 THEN rpad(text, 40, 'x') ELSE text END)) AS n FROM {_TEXT})
         SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'GEN_TRUNC_001' WHEN 1 THEN 'GEN_STRUCT_001' WHEN 2 THEN 'GEN_FLIP_001' ELSE 'GEN_MISSING_001' END AS rule_id,
             CASE doc_id % 5 WHEN 0 THEN 20 WHEN 1 THEN n WHEN 2 THEN 4 ELSE 3 END AS start FROM d WHERE doc_id % 5 < 4""",
     "tar_recovery": f"""WITH m AS (SELECT doc_id // 64 AS file_id, sum(512 + (octet_length(encode(text)) + 511) // 512 * 512) + 1024 AS n FROM {_TEXT} GROUP BY 1)
@@ -138,4 +159,17 @@ SQL: dict[str, str] = {
     "carve_pieces": f"""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM {_TEXT})
         SELECT doc_id, CAST(0 AS BIGINT) AS "offset", 5 + n // 2 AS "end" FROM d UNION ALL SELECT doc_id, 5 + n // 2, 11 + n FROM d UNION ALL SELECT doc_id, 11 + n, 15 + n FROM d""",
     "first_rule": f"WITH f AS ({_FINDINGS}) SELECT file_id, rule_id, start FROM f QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY start, seq, rule_id) = 1",
+    "strategy_plan": f"""WITH f AS ({_FINDINGS}), o AS ({_ORDERS}), j AS (SELECT * FROM f JOIN o USING (file_id)), p AS ({_PLAN})
+        SELECT file_id, CAST(row_number() OVER w AS INTEGER) AS pass, strategy, priority, risk FROM p QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY file_id ORDER BY priority DESC, n)""",
+    "triage_report": f"""WITH z AS (SELECT doc_id // 64 AS file_id, count(*) FILTER (doc_id % 10 = 3 AND text <> '') AS hurt FROM {_TEXT} GROUP BY 1),
+            e AS (SELECT file_id, unnest(CASE WHEN file_id % 3 = 0 THEN ['ZIP_EOCD_001', 'ZIP_CD_001'] ELSE list_transform(range(hurt), x -> 'ZIP_CRC_001') END) AS rule_id FROM z),
+            f AS (SELECT file_id, r.* FROM e JOIN {_RULES} r USING (rule_id)),
+            h AS (SELECT file_id, arg_max(severity, severity_rank) AS worst_severity, greatest(0, 100 - sum(points * hits_structural)) AS s, greatest(0, 100 - sum(points * hits_data)) AS d, greatest(0, 100 - sum(points * hits_metadata)) AS m FROM f GROUP BY file_id)
+        SELECT file_id, CASE WHEN TRUE THEN 'zip' END AS by_content, 'zip' AS engine_format, 'Match' AS agreement, worst_severity, coalesce(CAST((s * 4 + d * 4 + m * 2 + 5) // 10 AS INTEGER), 100) AS overall FROM z LEFT JOIN h USING (file_id)""",
+    "zip_half_directory": f"""WITH b AS (SELECT doc_id // 64 AS k, min(doc_id) AS first FROM documents WHERE doc_id % 16 = 5 GROUP BY 1)
+        SELECT doc_id, CASE WHEN first IS NULL OR doc_id < first THEN 'directory' ELSE 'scan' END AS source, TRUE AS verified, sha256(text) AS sha256 FROM {_TEXT} t LEFT JOIN b ON k = doc_id // 64""",
+    "format_damage": """SELECT doc_id, ['SQ_TRUNC_001', 'ISO_PVD_001', '7Z_CRC_001', 'PDF_EOF_001', 'GZ_ISIZE_001', 'BZ2_MAGIC_001', 'XZ_MAGIC_001', 'ZST_MAGIC_001', 'LZ4_MAGIC_001', 'TAR_UST_001'][doc_id % 10 + 1] AS rule_id
+        FROM documents WHERE doc_id % 3 = 0""",
+    "strategy_outputs": f"""SELECT doc_id, ['gz-magic-restore', 'gz-member-salvage', 'gz-trailer-recompute', 'zip-rebuild', 'zip-crc-fix', 'tar-terminator-append', 'tar-checksum-fix', 'tar-size-resync', 'tar-continuation-salvage'][doc_id % 9 + 1] AS strategy,
+        sha256(text) AS sha256 FROM {_TEXT}""",
 }

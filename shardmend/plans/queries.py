@@ -6,13 +6,15 @@ size is bounded), damaged by arithmetic on ids, and read back; relational steps
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bytesio, dims, exprs
+from ..functions import bytesio, corpus, dims, exprs
 from ..operators import detect, identify, integrity, members, recover, reference, relational, scoring, zipcore
 from . import triage
 
@@ -229,6 +231,24 @@ def zip_damage_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(_doc_id().alias("doc_id"), ok.alias("verified"), F.when(ok, F.sha2("bytes", 256)).alias("sha256"))
 
 
+def zip_half_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZIPs in which the records of documents with an id of 5 modulo 16 are blanked: directory and scan together give every document."""
+
+    @F.pandas_udf("binary")
+    def blank(contents: pd.Series) -> pd.Series:
+        out = []
+        for data in contents:
+            d = bytearray(data)
+            for e in bytesio.parse_zip(data).central:
+                if int(e.name[4:-4]) % 16 == 5:
+                    d[e.record_offset : e.record_offset + 46] = bytes(46)
+            out.append(bytes(d))
+        return pd.Series(out)
+
+    parts = zipcore.extracted(_archives(_documents(spark, sf_dir), "zip").withColumn("content", blank("content")))
+    return parts.select(_doc_id().alias("doc_id"), "source", (F.col("status") == "VERIFIED_CRC").alias("verified"), F.sha2("bytes", 256).alias("sha256"))
+
+
 def zip_damage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _damaged_zips(spark, sf_dir)
     found = scoring.classify(detect.detect(files))
@@ -276,8 +296,10 @@ def export_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against themselves: cut, grown, flipped, blanked or whole, by id."""
-    docs = _documents(spark, sf_dir).where(F.length("text") >= 40)
-    good = F.encode(F.concat(F.lit("reference copy "), "text"), "UTF-8")
+    docs = _documents(spark, sf_dir)
+    # short texts are padded, so that each kind of damage is defined for all
+    padded = F.when(F.length("text") < 40, F.rpad("text", 40, "x")).otherwise(F.col("text"))
+    good = F.encode(F.concat(F.lit("reference copy "), padded), "UTF-8")
     n = F.length("good")
     k = F.col("doc_id") % 5
     bad = (
@@ -315,6 +337,107 @@ def triage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("file_id").cast("long").alias("file_id"), "by_content", "engine_format", "agreement", "worst_severity", "overall")
 
 
+#: Formats of the files that format_damage builds, each whole or with one kind of damage.
+_BUILT = ("sqlite", "iso9660", "seven_z", "pdf", "gzip", "bzip2", "xz", "zstd", "lz4", "tar")
+
+
+def _built(fmt: str, text: str, damaged: bool) -> bytes:
+    body = text.encode()
+    if fmt == "sqlite":
+        d = corpus.build_sqlite()
+        return d[:-100] if damaged else d
+    if fmt == "iso9660":
+        d = corpus.build_iso()
+        return d[:32769] + b"XX" + d[32771:] if damaged else d
+    if fmt == "seven_z":
+        head = struct.pack("<QQI", len(body), 0, 0)
+        d = b"7z\xbc\xaf\x27\x1c\0\4" + struct.pack("<I", zlib.crc32(head)) + head + body
+        return d[:12] + b"\xff" + d[13:] if damaged else d
+    if fmt == "pdf":
+        d = corpus.build_pdf(text)
+        return d[: d.rfind(b"%%EOF")] + b" " * 1100 if damaged else d
+    if fmt == "gzip":
+        d = bytesio.build_gzip(body)
+        return d[:-4] + bytes([d[-4] ^ 1]) + d[-3:] if damaged else d
+    if fmt == "tar":
+        d = bytesio.build_tar([("a", body)])
+        return d[:148] + b"000000\0 " + d[156:] if damaged else d
+    magic = detect.MAGICS[fmt][1]
+    return (b"?" + magic[1:] if damaged else magic) + body
+
+
+def format_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of one of ten formats for each document, every third with one kind of damage: its finding, or none."""
+
+    @F.pandas_udf("binary")
+    def build(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_built(_BUILT[i % 10], t, i % 3 == 0) for i, t in zip(ids, texts, strict=True)])
+
+    fmt = F.get(F.array(*map(F.lit, _BUILT)), (F.col("doc_id") % 10).cast("int"))
+    files = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.lit("x").alias("name"), fmt.alias("engine_format"), build("doc_id", "text").alias("content"))
+    found = detect.detect(files)
+    return found.select(F.col("file_id").cast("long").alias("doc_id"), "rule_id")
+
+
+#: What strategy_outputs does to a file, and the strategy that is to bring its text back.
+_REPAIRS = ("gz-magic-restore", "gz-member-salvage", "gz-trailer-recompute", "zip-rebuild", "zip-crc-fix", "tar-terminator-append", "tar-checksum-fix", "tar-size-resync", "tar-continuation-salvage")
+
+
+def _hurt(strategy: str, text: str) -> bytes:
+    body = text.encode()
+    z, t, g = bytesio.build_zip([("a", body)]), bytesio.build_tar([("a", body), ("b", b"end")]), bytesio.build_gzip(body)
+    if strategy == "gz-magic-restore":
+        return b"xx" + g[2:]
+    if strategy == "gz-member-salvage":
+        return b"junk" * 5 + g
+    if strategy == "gz-trailer-recompute":
+        return g[:-8] + bytes(8)
+    if strategy == "zip-rebuild":
+        return z[: bytesio.parse_zip(z).cd_offset]
+    if strategy == "zip-crc-fix":
+        return z[:14] + bytes([z[14] ^ 1]) + z[15:]
+    if strategy == "tar-terminator-append":
+        return t[:-1024]
+    if strategy == "tar-checksum-fix":
+        return t[:148] + b"000000\0 " + t[156:]
+    if strategy == "tar-size-resync":
+        wrong = bytearray(t)
+        wrong[124:136] = b"%011o\0" % (len(body) + 600)
+        wrong[148:156] = b"%06o\0 " % bytesio.tar_checksum(bytes(wrong[:512]))
+        return bytes(wrong)
+    return bytes(512) + b"?" * 700 + bytes(324) + t
+
+
+def strategy_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A damaged file of each document, and the text that one of nine strategies brings back from it."""
+
+    @F.pandas_udf("binary")
+    def hurt(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_hurt(_REPAIRS[i % 9], t) for i, t in zip(ids, texts, strict=True)])
+
+    name = F.get(F.array(*map(F.lit, _REPAIRS)), (F.col("doc_id") % 9).cast("int"))
+    fmt = F.element_at(F.create_map(*[F.lit(x) for pair in (("gz", "gzip"), ("zip", "zip"), ("tar", "tar")) for x in pair]), F.substring_index(name, "-", 1))
+    files = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.lit("x").alias("name"), fmt.alias("engine_format"), hurt("doc_id", "text").alias("content"), name.alias("strategy"))
+    done = recover.staged(files, files.select("file_id", "strategy")).join(files.select("file_id", "engine_format"), "file_id")
+
+    @F.pandas_udf("binary")
+    def text_of(fmts: pd.Series, outputs: pd.Series) -> pd.Series:
+        out = []
+        for fmt, data in zip(fmts, outputs, strict=True):
+            if data is None:
+                out.append(None)
+            elif fmt == "gzip":
+                out.append(bytesio.inflate(data, 31)[0])
+            elif fmt == "zip":
+                out.append(bytesio.extract_zip(data, bytesio.parse_zip(data).central[0])[1])
+            else:
+                m = bytesio.walk_tar(data)[0][0]
+                out.append(data[m.data_offset : m.data_offset + m.size])
+        return pd.Series(out, dtype=object)
+
+    return done.select(F.col("file_id").cast("long").alias("doc_id"), "strategy", F.sha2(text_of("engine_format", "staged"), 256).alias("sha256"))
+
+
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as repairs: verifier widths, a target the repair was solved against, and whether it may be kept."""
     li = table(spark, sf_dir, "lineitem")
@@ -344,8 +467,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         zip_roundtrip, tar_roundtrip, tar_members, zip_members, gzip_salvage, identify_formats, block_hashes, manifest_compare,
         classify_findings, health_scores, recoverability_scores, evidence_breakdown, worst_severity, merge_bitflips, noisy_or,
-        offset_segments, container_owner, range_lookup, payload_gaps, zip_damage_extract, zip_damage_findings, zip_lost_headers,
+        offset_segments, container_owner, range_lookup, payload_gaps, zip_damage_extract, zip_damage_findings, zip_half_directory, zip_lost_headers,
         zip_conflicts, zip_shifted_map, export_members, reference_rules, strategy_plan, tar_recovery, triage_report, evidence_gate,
-        carve_pieces, first_rule,
+        carve_pieces, first_rule, format_damage, strategy_outputs,
     )
 }

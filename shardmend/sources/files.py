@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +37,13 @@ def manifest(lines: DataFrame) -> DataFrame:
 
 
 def sidecars(files: DataFrame) -> DataFrame:
-    """(name, hash, kind) from `<name>.sha256` and `<name>.sha3_512` files next to their targets, which carry the hash as first word."""
+    """(name, hash, kind, and the target's path where files have one) from `<name>.sha256` and `<name>.sha3_512` files next to their targets, which carry the hash as first word."""
+    suffix = r"(?i)\.(sha256|sha3_512)$"
     ext = F.regexp_extract(F.lower("name"), r"\.(sha256|sha3_512)$", 1)
     rows = files.where(ext != "")
     first = F.lower(F.element_at(F.split(F.trim(F.decode("content", "UTF-8")), r"\s+"), 1))
-    return rows.select(F.regexp_replace("name", r"(?i)\.(sha256|sha3_512)$", "").alias("name"), first.alias("hash"), ext.alias("kind"))
+    place = [F.regexp_replace("path", suffix, "").alias("path")] if "path" in files.columns else []
+    return rows.select(F.regexp_replace("name", suffix, "").alias("name"), first.alias("hash"), ext.alias("kind"), *place)
 
 
 def output_path(path, output_dir: str):
@@ -49,3 +55,26 @@ def output_path(path, output_dir: str):
 def write_repaired(repaired: DataFrame, output_dir: str) -> None:
     """Repaired bytes and reports as a Parquet table of (output_path, content, report): a distributed, atomic sink."""
     repaired.write.mode("errorifexists").parquet(output_dir)
+
+
+def write_files(repaired: DataFrame) -> None:
+    """Each row's `content` as a file at its `output_path`, and its `manifest` (where it has one) beside it as `<output_path>.phxr.json`.
+
+    Written by the executors under a name of its own and then moved, so that a lost task leaves no half file; any store that pyarrow knows.
+    """
+    names = [c for c in ("output_path", "content", "manifest") if c in repaired.columns]
+
+    def put(rows: Iterator) -> None:
+        for r in rows:
+            if r["content"] is None:
+                continue
+            store, path = pyarrow.fs.FileSystem.from_uri(r["output_path"]) if "://" in r["output_path"] else (pyarrow.fs.LocalFileSystem(), r["output_path"])
+            store.create_dir(path.rpartition("/")[0] or ".", recursive=True)
+            for name, body in ((path, bytes(r["content"])), (f"{path}.phxr.json", r["manifest"].encode() if "manifest" in names and r["manifest"] else None)):
+                if body is not None:
+                    part = f"{name}.part-{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as f:
+                        f.write(body)
+                    store.move(part, name)
+
+    repaired.select(*names).foreachPartition(put)
