@@ -160,16 +160,17 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(0 AS BIGINT) AS "offset", 5 + n // 2 AS "end" FROM d UNION ALL SELECT doc_id, 5 + n // 2, 11 + n FROM d UNION ALL SELECT doc_id, 11 + n, 15 + n FROM d""",
     "first_rule": f"WITH f AS ({_FINDINGS}) SELECT file_id, rule_id, start FROM f QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY start, seq, rule_id) = 1",
     "strategy_plan": f"""WITH f AS ({_FINDINGS}), o AS ({_ORDERS}), j AS (SELECT * FROM f JOIN o USING (file_id)), p AS ({_PLAN})
-        SELECT file_id, CAST(row_number() OVER w AS INTEGER) AS pass, strategy, priority, risk FROM p QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY file_id ORDER BY priority DESC, n)""",
+        SELECT file_id, CAST(row_number() OVER w AS INTEGER) AS pass, strategy, priority, risk FROM p WINDOW w AS (PARTITION BY file_id ORDER BY priority DESC, n) QUALIFY row_number() OVER w <= 3""",
     "triage_report": f"""WITH z AS (SELECT doc_id // 64 AS file_id, count(*) FILTER (doc_id % 10 = 3 AND text <> '') AS hurt FROM {_TEXT} GROUP BY 1),
-            e AS (SELECT file_id, unnest(CASE WHEN file_id % 3 = 0 THEN ['ZIP_EOCD_001', 'ZIP_CD_001'] ELSE list_transform(range(hurt), x -> 'ZIP_CRC_001') END) AS rule_id FROM z),
+            e AS (SELECT file_id, unnest(CASE WHEN file_id % 3 = 0 THEN ['ZIP_EOCD_001', 'ZIP_CD_001'] ELSE list_transform(range(hurt), lambda x: 'ZIP_CRC_001') END) AS rule_id FROM z),
             f AS (SELECT file_id, r.* FROM e JOIN {_RULES} r USING (rule_id)),
             h AS (SELECT file_id, arg_max(severity, severity_rank) AS worst_severity, greatest(0, 100 - sum(points * hits_structural)) AS s, greatest(0, 100 - sum(points * hits_data)) AS d, greatest(0, 100 - sum(points * hits_metadata)) AS m FROM f GROUP BY file_id)
         SELECT file_id, CASE WHEN TRUE THEN 'zip' END AS by_content, 'zip' AS engine_format, 'Match' AS agreement, worst_severity, coalesce(CAST((s * 4 + d * 4 + m * 2 + 5) // 10 AS INTEGER), 100) AS overall FROM z LEFT JOIN h USING (file_id)""",
     "zip_half_directory": f"""WITH b AS (SELECT doc_id // 64 AS k, min(doc_id) AS first FROM documents WHERE doc_id % 16 = 5 GROUP BY 1)
         SELECT doc_id, CASE WHEN first IS NULL OR doc_id < first THEN 'directory' ELSE 'scan' END AS source, TRUE AS verified, sha256(text) AS sha256 FROM {_TEXT} t LEFT JOIN b ON k = doc_id // 64""",
     "format_damage": """SELECT doc_id, ['SQ_TRUNC_001', 'ISO_PVD_001', '7Z_CRC_001', 'PDF_EOF_001', 'GZ_ISIZE_001', 'BZ2_MAGIC_001', 'XZ_MAGIC_001', 'ZST_MAGIC_001', 'LZ4_MAGIC_001', 'TAR_UST_001'][doc_id % 10 + 1] AS rule_id
-        FROM documents WHERE doc_id % 3 = 0""",
+        FROM documents WHERE doc_id % 3 = 0
+        UNION ALL SELECT doc_id, 'SQ_PGSIZE_002' FROM documents WHERE doc_id % 30 = 0""",
     "strategy_outputs": f"""SELECT doc_id, ['gz-magic-restore', 'gz-member-salvage', 'gz-trailer-recompute', 'zip-rebuild', 'zip-crc-fix', 'tar-terminator-append', 'tar-checksum-fix', 'tar-size-resync', 'tar-continuation-salvage'][doc_id % 9 + 1] AS strategy,
-        sha256(text) AS sha256 FROM {_TEXT}""",
+        CASE WHEN doc_id % 9 = 7 THEN sha256(encode(text) || unhex(repeat('00', (512 - octet_length(encode(text)) % 512) % 512))) ELSE sha256(text) END AS sha256 FROM {_TEXT}""",
 }

@@ -409,7 +409,7 @@ def _hurt(strategy: str, text: str) -> bytes:
 
 
 def strategy_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A damaged file of each document, and the text that one of nine strategies brings back from it."""
+    """A damaged file of each document, and the text that one of nine strategies brings back from it (a size that is found again by the next header counts the padding, too)."""
 
     @F.pandas_udf("binary")
     def hurt(ids: pd.Series, texts: pd.Series) -> pd.Series:
