@@ -179,3 +179,38 @@ def test_columns_of_the_same_name_stay(spark):
 def test_metadata_view_sees_no_content():
     a, b = "one two three.\nfour", "##1 $w| thr&e|\nfo*r"
     assert (quality.metadata_view("en", "s", a) == quality.metadata_view("en", "s", b)).all()
+
+
+def test_ftrl_against_brute_force():
+    """Each coordinate's z and n kept in plain numbers."""
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(np.r_[0, rng.integers(1, 60, 8)]), int(rng.integers(2))) for _ in range(400)]
+    model = toxicity.Ftrl(bits=6)
+    z, n = {}, {}
+
+    def weight(i):
+        a = abs(z.get(i, 0.0))
+        return 0.0 if a <= toxicity.L1 else -np.sign(z[i]) * (a - toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for at, y in rows:
+        g = 1 / (1 + np.exp(-sum(weight(i) for i in at.tolist()))) - y
+        for i, w in [(i, weight(i)) for i in at.tolist()]:
+            old = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / toxicity.ALPHA * w
+            n[i] = old + g * g
+        model.learn(at, y)
+    assert np.allclose([weight(i) for i in range(64)], model.weights(slice(None)))
+
+
+def test_cotraining_exchanges_labels():
+    """Two views of which each tells half: rows without labels are taught by the other view, held-apart rows choose the threshold."""
+    rng = np.random.default_rng(5)
+    n = 900
+    y = rng.integers(0, 2, n)
+    content = [np.unique(np.r_[0, 70 + rng.integers(0, 200, 6), 300 + y[k] if rng.random() < 0.97 else 70]) for k in range(n)]
+    meta = [np.unique(np.r_[0, 700 + rng.integers(0, 50, 3), 900 + y[k] if rng.random() < 0.97 else 700]) for k in range(n)]
+    labels = np.where(np.arange(n) < 120, y, -1)
+    one, two, (a, b, c, threshold), given = quality.cotrain(content, meta, labels)
+    assert sum(given) > 100 and threshold in quality.THRESHOLDS
+    score = quality._sigmoid(quality._logits([one, two], content, meta, np.arange(n)) @ np.array([a, b, c]))
+    assert np.mean((score[120:] >= 0.5) == y[120:]) > 0.9
