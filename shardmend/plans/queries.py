@@ -99,6 +99,25 @@ def identify_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "by_content", "by_name", "provenance", "agreement", "best_effort", "engine_format")
 
 
+def identify_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a signature at a place of its own: before the end, or at an offset; or none."""
+    text = F.encode("text", "UTF-8")
+    zeros = lambda n: F.lit(bytes(n))
+    dots = lambda n: F.lit(b"." * n)
+    k = F.col("doc_id") % 6
+    body = (
+        F.when(k == 0, F.concat(dots(40), text, F.lit(b"conectix"), zeros(504)))
+        .when(k == 1, F.concat(dots(40), text, F.lit(b"koly"), zeros(508)))
+        .when(k == 2, F.concat(dots(40), text, F.lit(b"MACRIUM_FILE")))
+        .when(k == 3, F.concat(dots(257), F.lit(b"ustar"), text, dots(10)))
+        .when(k == 4, F.concat(dots(32769), F.lit(b"CD001"), text, dots(10)))
+        .otherwise(F.concat(dots(40), text))
+    )
+    docs = _documents(spark, sf_dir).select("doc_id", F.lit("x").alias("name"), body.alias("content"))
+    out = identify.identify(docs.withColumn("length", F.length("content").cast("long")))
+    return out.select("doc_id", "by_content", "provenance", "agreement", "engine_format")
+
+
 def block_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))
     out = integrity.block_hashes(files, 1024)
@@ -465,7 +484,7 @@ def first_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        zip_roundtrip, tar_roundtrip, tar_members, zip_members, gzip_salvage, identify_formats, block_hashes, manifest_compare,
+        zip_roundtrip, tar_roundtrip, tar_members, zip_members, gzip_salvage, identify_formats, identify_anchored, block_hashes, manifest_compare,
         classify_findings, health_scores, recoverability_scores, evidence_breakdown, worst_severity, merge_bitflips, noisy_or,
         offset_segments, container_owner, range_lookup, payload_gaps, zip_damage_extract, zip_damage_findings, zip_half_directory, zip_lost_headers,
         zip_conflicts, zip_shifted_map, export_members, reference_rules, strategy_plan, tar_recovery, triage_report, evidence_gate,
