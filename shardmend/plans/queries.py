@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesio, corpus, dims, exprs
+from ..functions.scratch import written
 from ..operators import detect, identify, integrity, members, recover, reference, relational, scoring, zipcore
 from . import triage
 
@@ -343,7 +344,7 @@ def strategy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tar_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TARs without terminators are repaired and proved by a manifest, where there is one; whole ones are left alone."""
-    files = _archives(_documents(spark, sf_dir), "tar")
+    files = written(_archives(_documents(spark, sf_dir), "tar"), "archives")  # files that exist, not a recipe to be run for each reading
     manifest = files.where("CAST(file_id AS BIGINT) % 2 = 0").select("name", F.sha2("content", 256).alias("hash"))
     cut = F.when(F.col("file_id").cast("long") % 3 == 0, F.col("content")).otherwise(F.col("content").substr(F.lit(1), F.length("content") - 1024))
     out = triage.recover_files(files.select("file_id", "name", cut.alias("content")), manifest)
@@ -352,7 +353,7 @@ def tar_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis of damaged ZIPs from bytes to scores."""
-    out = triage.analyze(_damaged_zips(spark, sf_dir).drop("engine_format"))
+    out = triage.analyze(written(_damaged_zips(spark, sf_dir).drop("engine_format"), "archives"))
     return out.select(F.col("file_id").cast("long").alias("file_id"), "by_content", "engine_format", "agreement", "worst_severity", "overall")
 
 
