@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,11 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, spare_name
 
-#: Entries of a task's memo of chunks already encoded (some 40 MB); it is emptied when full.
-MEMO_ENTRIES = 200_000
+#: Entries of a task's memo of chunks already encoded (some 60 MB).
+MEMO_ENTRIES = 300_000
 #: Chunks longer than this are encoded afresh each time.
 MEMO_CHARS = 40
 
+#: Bits of an id in the key of a pair, and signs that often follow a word.
+ID_BITS, SIGNS = 24, frozenset(".,;:!?")
+
 # The pre-token pattern of this byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -68,11 +72,17 @@ def load_tables(path: str) -> dict:
     }
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteBpe:
     def __init__(self, tables: dict):
-        left, right, joined = (tables[k].tolist() for k in ("left", "right", "joined"))
-        self.merges = {a << 32 | b: (rank, c) for rank, (a, b, c) in enumerate(zip(left, right, joined, strict=True))}
+        left, right, self.joined = (tables[k].tolist() for k in ("left", "right", "joined"))
+        self.rank = {a << ID_BITS | b: rank for rank, (a, b) in enumerate(zip(left, right, strict=True))}
         self.byte_ids = tables["bytes"].tolist()
+        self.first = [self.rank.get(x << ID_BITS | y, -1) for x in self.byte_ids for y in self.byte_ids]
         self.pieces = tables["pieces"]
         self.special = tables["special"]
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -81,42 +91,52 @@ class ByteBpe:
         self.after_boundary = re.compile(r"(?= \S)").split
         self.spaced: dict[str, bytes] = {}  # chunk without its leading space -> ids of " " + chunk
         self.words: dict[str, bytes] = {}
+        self.old_spaced: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        ids = [self.byte_ids[b] for b in word.encode("utf-8", "surrogatepass")]
-        n, merges = len(ids), self.merges
-        if n == 1:
+        data = word.encode("utf-8", "surrogatepass")
+        ids = [self.byte_ids[c] for c in data]
+        n, rank, joined, first = len(ids), self.rank.get, self.joined, self.first
+        # the rank of the pair that starts at each place; an entry of the queue is a rank and a place in one number
+        now = [first[x << 8 | y] for x, y in zip(data, data[1:], strict=False)]
+        bits = n.bit_length()
+        queue = [r << bits | i for i, r in enumerate(now) if r >= 0]
+        if not queue:
             return ids
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            if m := merges.get(ids[i] << 32 | ids[i + 1]):
-                queue.append(m[0] << 32 | i)
+        now.append(-1)
+        place = (1 << bits) - 1
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            entry = heapq.heappop(queue)
-            i = entry & 0xFFFFFFFF
-            j = after[i]
-            if ids[i] < 0 or j >= n:
-                continue
-            m = merges.get(ids[i] << 32 | ids[j])
-            if not m or m[0] != entry >> 32:
+            entry = pop(queue)
+            i, r = entry & place, entry >> bits
+            if now[i] != r:
                 continue  # stale: one side has been merged since
-            ids[i], ids[j] = m[1], -1
-            k = after[i] = after[j]
+            j = after[i]
+            ids[i] = a = joined[r]
+            ids[j] = now[j] = -1
+            after[i] = k = after[j]
+            now[i] = -1
             if k < n:
                 before[k] = i
-                if m := merges.get(ids[i] << 32 | ids[k]):
-                    heapq.heappush(queue, m[0] << 32 | i)
+                now[i] = r = rank(a << ID_BITS | ids[k], -1)
+                if r >= 0:
+                    push(queue, r << bits | i)
             h = before[i]
-            if h >= 0 and (m := merges.get(ids[h] << 32 | ids[i])):
-                heapq.heappush(queue, m[0] << 32 | h)
+            if h >= 0:
+                now[h] = r = rank(ids[h] << ID_BITS | a, -1)
+                if r >= 0:
+                    push(queue, r << bits | h)
         return [x for x in ids if x >= 0]
 
     def remember(self, memo: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        """Two generations: when the young one is full, it takes the place of the old one, from which what is asked for again comes back."""
         if len(key) <= MEMO_CHARS:
-            if len(self.words) + len(self.spaced) >= MEMO_ENTRIES:
+            if len(self.words) + len(self.spaced) >= MEMO_ENTRIES // 2:
+                self.old_words, self.old_spaced = self.words.copy(), self.spaced.copy()
                 self.words.clear()
                 self.spaced.clear()
             memo[key] = ids
@@ -124,16 +144,27 @@ class ByteBpe:
 
     def word(self, word: str) -> bytes:
         """Ids of a pre-token; one after a space is remembered as the chunk that it would be alone."""
-        memo, key = (self.spaced, word[1:]) if len(word) > 1 and word[0] == " " and not word[1].isspace() else (self.words, word)
+        apart = len(word) > 1 and word[0] == " " and not word[1].isspace()
+        memo, old, key = (self.spaced, self.old_spaced, word[1:]) if apart else (self.words, self.old_words, word)
         got = memo.get(key)
-        return self.remember(memo, key, np.array(self.merge(word), "<u4").tobytes()) if got is None else got
+        return self.remember(memo, key, old.get(key) or _packed(self.merge(word))) if got is None else got
 
     def chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.word, self.pre_tokens(chunk)))
 
     def spaced_chunk(self, rest: str) -> bytes:
         got = self.spaced.get(rest)
-        return self.remember(self.spaced, rest, self.chunk(" " + rest)) if got is None else got
+        if got is not None:
+            return got
+        if got := self.old_spaced.get(rest):
+            return self.remember(self.spaced, rest, got)
+        # letters alone are one pre-token, and so is a sign after them: such chunks are made of what is remembered of the word
+        if rest.isalpha():
+            if max(rest) < "\u0250":
+                return self.remember(self.spaced, rest, _packed(self.merge(" " + rest)))
+        elif rest[-1:] in SIGNS and (word := rest[:-1]).isalpha() and max(word) < "\u0250":
+            return (self.spaced.get(word) or self.spaced_chunk(word)) + self.word(rest[-1])
+        return self.remember(self.spaced, rest, self.chunk(" " + rest))
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, as little-endian 32-bit integers.
