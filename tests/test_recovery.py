@@ -113,7 +113,7 @@ def test_command_line_and_stream(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "ok.zip").write_bytes(z)
     (tmp_path / "in" / "lost.zip").write_bytes(z[: b.parse_zip(z).cd_offset])
-    assert main([str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--sign-key", "11" * 32]) == 1
+    assert main([str(tmp_path / "in"), "--files", str(tmp_path / "out"), "--sign-key", "11" * 32]) == 1
     assert len(capsys.readouterr().out.strip().split("\n")) == 3
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["lost.zip.recovered", "lost.zip.recovered.phxr.json"]
     side = json.loads((tmp_path / "out" / "lost.zip.recovered.phxr.json").read_text())
