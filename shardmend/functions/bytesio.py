@@ -36,6 +36,23 @@ def inflate_prefix(data: bytes, wbits: int = -15, limit: int = MAX_INFLATE, step
     return b"".join(out), d.eof, min(at, len(data)) - len(d.unused_data)
 
 
+def inflate_sums(data: bytes, at: int, step: int = 1 << 16) -> tuple[bool, int, int, int]:
+    """(whether the raw stream at an offset ended, the offset after it, checksum and size of its bytes), in bounded memory whatever the size. A broken stream has not ended."""
+    d, crc, size = zlib.decompressobj(-15), 0, 0
+    view, left = memoryview(data), b""
+    try:
+        while not d.eof and (left or at < len(data)):
+            if not left:
+                left = view[at : at + step]
+                at += len(left)
+            out = d.decompress(left, 1 << 20)
+            left = d.unconsumed_tail
+            crc, size = zlib.crc32(out, crc), size + len(out)
+    except zlib.error:
+        return False, at, crc, size
+    return d.eof, at - len(d.unused_data), crc, size
+
+
 # --- ZIP ------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,6 @@ are checked, too; streamed entries may have no local size; every member of a gzi
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -17,7 +16,7 @@ from ..functions import bytesio as b
 from ..functions import zipview
 from .members import _per_file
 
-MAX_FINDINGS, INFLATE_LIMIT = 1000, 64 << 20
+MAX_FINDINGS = 1000
 SCHEMA = "file_id string, seq int, rule_id string, member string, start long, end long, confidence double"
 
 # Leading bytes of the formats of which nothing else is read.
@@ -104,19 +103,17 @@ def _gzip(data: bytes, strict: bool) -> Iterator[tuple]:
             if at == 0 or data[at : at + 2] == b"\x1f\x8b":
                 yield "GZ_TRUNC_001", None, at, n, None
             return  # padding after a member is no damage
-        body, whole, used = b.inflate_prefix(data[at + head :], limit=INFLATE_LIMIT)
-        end = at + head + used
+        whole, end, sum_, length = b.inflate_sums(data, at + head)
         if not whole:
-            if len(body) < INFLATE_LIMIT:  # beyond the limit nothing is known
-                yield "GZ_TRUNC_001", None, at, n, None
+            yield "GZ_TRUNC_001", None, at, n, None
             return
         if end + 8 > n:
             yield "GZ_TRUNC_001", None, end, n, None
             return
         crc, size = struct.unpack_from("<II", data, n - 8 if strict else end)
-        if crc != zlib.crc32(body):
+        if crc != sum_:
             yield "GZ_ICRC_001", None, end, end + 4, None
-        if size != len(body) & 0xFFFFFFFF:
+        if size != length & 0xFFFFFFFF:
             yield "GZ_ISIZE_001", None, end + 4, end + 8, None
         if strict:
             return

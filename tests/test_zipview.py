@@ -117,3 +117,16 @@ def test_views_and_extraction(spark):
     assert sorted((r.name, r.status, r.source) for r in rows) == sorted((n, "VERIFIED_CRC", "directory" if k < 3 else "scan") for k, n in enumerate(NAMES))
     v = {r.file_id: r for r in zipcore.views(files).collect()}
     assert (v["a"].from_directory, v["a"].from_scan, v["b"].from_directory) == (3, 3, 0)
+
+
+def test_large_gzip_members_are_checked():
+    """100 MB of zeros in 100 kB: checksum and size count beyond any buffer, and trailing bytes of a second member are found."""
+    from shardmend.operators.detect import findings_of
+
+    big = b.build_gzip(bytes(100 << 20))
+    two = big + b.build_gzip(b"end")
+    rules = lambda d: [f[0] for f in findings_of("gzip", d)]
+    assert rules(two) == []
+    assert rules(big[:-8] + bytes([big[-8] ^ 1]) + big[-7:]) == ["GZ_ICRC_001"] and rules(two[:-4] + bytes([two[-4] ^ 1]) + two[-3:]) == ["GZ_ISIZE_001"]
+    assert rules(big[: len(big) // 2]) == ["GZ_TRUNC_001"]
+    assert b.inflate_sums(big, 10) == (True, len(big) - 8, __import__("zlib").crc32(bytes(100 << 20)), 100 << 20)
