@@ -16,7 +16,7 @@ word, but as many shingles as a shingle has words) for candidates, and links dis
 their exact five-word similarity is VERIFIED or more. Each pair of near fingerprints is looked at in
 one group; pairs already joined are skipped; the rest is filtered by sketches, then verified.
 
-Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat a doc_id
+Null and empty texts have fingerprint zero and are linked like any other. Texts of any length are read whole. Rows that repeat a doc_id
 each get a row. Null doc_ids are never a component's name unless all its documents have none.
 """
 

@@ -1,4 +1,11 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that go on, with the columns of docs."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> the documents that go on, with the columns of docs.
+
+Null and empty texts are no toxic, contaminated or private ones; they are copies of each other, so the
+near-duplicate stage keeps one of them, as it keeps one of the rows that repeat a doc_id. Rows without
+doc_id stay. Empty tables go through as empty tables: without labels every toxicity is 0.5, which is kept.
+Other columns go along, whatever their names; the last stage returns doc_id and what it makes. Texts of any
+length are read whole.
+"""
 
 from __future__ import annotations
 
