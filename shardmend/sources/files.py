@@ -58,7 +58,7 @@ def write_repaired(repaired: DataFrame, output_dir: str) -> None:
 
 
 def write_files(repaired: DataFrame) -> None:
-    """Each row's `content` as a file at its `output_path`, and its `manifest` (where it has one) beside it as `<output_path>.phxr.json`.
+    """Each row's `content` as a file at its `output_path`, and its `manifest` (where it has one) beside it as `<output_path>.manifest.json`.
 
     Written by the executors under a name of its own and then moved, so that a lost task leaves no half file; any store that pyarrow knows.
     """
@@ -70,7 +70,7 @@ def write_files(repaired: DataFrame) -> None:
                 continue
             store, path = pyarrow.fs.FileSystem.from_uri(r["output_path"]) if "://" in r["output_path"] else (pyarrow.fs.LocalFileSystem(), r["output_path"])
             store.create_dir(path.rpartition("/")[0] or ".", recursive=True)
-            for name, body in ((path, bytes(r["content"])), (f"{path}.phxr.json", r["manifest"].encode() if "manifest" in names and r["manifest"] else None)):
+            for name, body in ((path, bytes(r["content"])), (f"{path}.manifest.json", r["manifest"].encode() if "manifest" in names and r["manifest"] else None)):
                 if body is not None:
                     part = f"{name}.part-{uuid.uuid4().hex}"
                     with store.open_output_stream(part) as f:

@@ -115,8 +115,8 @@ def test_command_line_and_stream(spark, tmp_path, capsys):
     (tmp_path / "in" / "lost.zip").write_bytes(z[: b.parse_zip(z).cd_offset])
     assert main([str(tmp_path / "in"), "--files", str(tmp_path / "out"), "--sign-key", "11" * 32]) == 1
     assert len(capsys.readouterr().out.strip().split("\n")) == 3
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["lost.zip.recovered", "lost.zip.recovered.phxr.json"]
-    side = json.loads((tmp_path / "out" / "lost.zip.recovered.phxr.json").read_text())
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["lost.zip.recovered", "lost.zip.recovered.manifest.json"]
+    side = json.loads((tmp_path / "out" / "lost.zip.recovered.manifest.json").read_text())
     assert ed25519.verify(bytes.fromhex(side["public_key"]), side["manifest"].encode(), bytes.fromhex(side["signature"]))
     assert {n: x for n, x in MEMBERS} == {e.entry.name.decode(): b.extract_zip(d, e.entry, e.where)[1] for d in [(tmp_path / "out" / "lost.zip.recovered").read_bytes()] for e in __import__("shardmend.functions.zipview", fromlist=["x"]).view(d).entries}
     recovery_stream(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "ck")).awaitTermination(120)
