@@ -3,12 +3,15 @@
 1. Items become weighted sets of five-word shingles (a shingle's weight is how often it occurs). Of each
    document the shingles of items are found by an equi-join. A hit counts in the windows that hold it,
    but not in those that already hold as many of its shingle as the item: so it counts for an interval of
-   starts, and a running sum over the interval ends tells for every item-sized window how much of the
-   item it holds. That is linear in the hits, however often a passage repeats. The best window of each
-   document and item goes on, where it holds enough.
-2. SimHash of these item-sized windows and of each item. Multi-index: of RADIUS + 1 blocks of the bits,
-   two fingerprints within the radius share one whole block at least, so an equi-join on blocks finds
-   all such pairs of equal size.
+   starts, and a running sum over the interval ends tells which item-sized window holds most of the
+   item. That is linear in the hits, however often a passage repeats. This window of each document and
+   item that has enough hits, wherever they are, goes on; how much it holds is not asked here.
+2. SimHash of these item-sized windows and of each item picks the pairs to compare. Multi-index: of
+   RADIUS + 1 blocks of the bits, two fingerprints within the radius share one whole block at least, so
+   an equi-join on blocks finds all such pairs of equal size. A window that is farther from the item it
+   was cut for is a pair, too, unless they differ in a sure bit: one that so many more of the item's
+   shingles have (or lack) that no window of SIMILARITY can differ in it. So no match is lost: short and
+   repetitive texts can be similar with fingerprints far apart.
 3. Weighted Jaccard similarity of the pairs, exactly; those of SIMILARITY or more are matches.
 
 Words are runs of letters and digits, lower-cased. Items of fewer than five words are one shingle of
@@ -51,6 +54,17 @@ def fingerprint_sql(hashes: str) -> str:
     return f"aggregate(sequence(0, 63), 0L, (f, b) -> f | CASE WHEN 2 * {ones} > size({hashes}) THEN shiftleft(1L, b) ELSE 0L END)"
 
 
+def sure_sql(hashes: str) -> str:
+    """SQL of the bits that an item's SimHash has in common with that of every window of SIMILARITY.
+
+    Of A + B shingles (A <= B, the item's) with I >= up (A + B) / (up + down) in common, A + B - 2 I are in one only. Each moves a bit's lead of ones over noughts by one.
+    """
+    up, down = SIMILARITY
+    lead = f"2 * aggregate({hashes}, 0, (n, h) -> n + CAST(shiftright(h, b) & 1 AS INT)) - size({hashes})"
+    moved = f"2 * size({hashes}) * {down - up} div {up + down}"
+    return f"aggregate(sequence(0, 63), 0L, (f, b) -> f | CASE WHEN {lead} NOT BETWEEN 1 - {moved} AND {moved} THEN shiftleft(1L, b) ELSE 0L END)"
+
+
 def common_sql(a: str, b: str) -> str:
     """SQL of the size of the intersection of two arrays as weighted sets; repeats are counted one by one only where both have some."""
     counted = f"aggregate(array_distinct({a}), 0, (n, h) -> n + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))"
@@ -63,11 +77,11 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def item_table(items: DataFrame, k: int) -> DataFrame:
-    """Items with k-word shingles: item_id, m (words), hashes, fp."""
+    """Items with k-word shingles: item_id, m (words), hashes, fp, sure."""
     words = items.select("item_id", "text", F.size(F.expr(_WORDS.format("text"))).alias("m"))
     of_k = words.where(f"m >= {k}") if k == SHINGLE_WORDS else words.where(f"m = {k}")
     rows = of_k.select("item_id", "m", F.expr(_hashes("text", k)).alias("hashes"))
-    return rows.select("*", F.expr(fingerprint_sql("hashes")).alias("fp"))
+    return rows.select("*", F.expr(fingerprint_sql("hashes")).alias("fp"), F.expr(sure_sql("hashes")).alias("sure"))
 
 
 def _blocks(fp: str):
@@ -93,11 +107,10 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _windows(runs: DataFrame, holders: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_key, m, start, fits): the best window of each document and item of which it holds enough.
+    """(doc_id, text_key, m, start, fits, own): the best window of each document and item; own are the keys of the items it was cut for.
 
     runs: (doc_id, text_key, item_key, m, hits), hits being structs of at, hash and the item's count c of it.
     """
-    up, down = SIMILARITY
     pair = ["doc_id", "text_key", "item_key", "m"]
     spots = runs.select(*pair, F.explode("hits").alias("x")).groupBy(*pair, "x.hash", "x.c").agg(F.sort_array(F.collect_list("x.at")).alias("p"))
     # of each hit, the place of the hit that is c before it among those of its shingle
@@ -111,9 +124,7 @@ def _windows(runs: DataFrame, holders: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy(*pair).orderBy("s")
     held = ends.select(*pair, "f", F.sum("d").over(w).alias("both"), (F.lead("s").over(w) - 1).alias("start"))  # the last start that holds so much
     best = held.where("start is not null").groupBy(*pair, "f").agg(F.max(F.struct("both", "start")).alias("x"))
-    # I / (A + B - I) >= up / down, in whole numbers: I >= up (A + B) / (up + down)
-    best = best.where(F.col("x.both") * (up + down) >= (F.col("f") + F.col("m") - (k - 1)) * up)
-    return best.select("doc_id", "text_key", "m", "x.start", F.col("f").alias("fits")).distinct()
+    return best.groupBy("doc_id", "text_key", "m", "x.start", F.col("f").alias("fits")).agg(F.collect_set("item_key").alias("own"))
 
 
 def _matches_of(docs: DataFrame, table: DataFrame, k: int) -> DataFrame:
@@ -121,7 +132,7 @@ def _matches_of(docs: DataFrame, table: DataFrame, k: int) -> DataFrame:
     text = docs.select("doc_id", "text").where("text is not null").withColumn("text_key", F.xxhash64("text"))
     places = text.select("doc_id", "text_key", F.posexplode(F.expr(_hashes("text", k))).alias("at", "hash"))
 
-    keyed = table.select("item_id", "m", "hashes", "fp", F.xxhash64("item_id", "hashes").alias("item_key"))
+    keyed = table.select("item_id", "m", "hashes", "fp", "sure", F.xxhash64("item_id", "hashes").alias("item_key"))
     shingles = keyed.select("item_key", "m", "hashes").dropDuplicates(["item_key"]).select("item_key", "m", F.explode("hashes").alias("hash"))
     shingles = materialize(shingles.groupBy("item_key", "m", "hash").agg(F.count(F.lit(1)).alias("c")), "shingles")
     hits = places.join(_sized(shingles), "hash")
@@ -134,28 +145,38 @@ def _matches_of(docs: DataFrame, table: DataFrame, k: int) -> DataFrame:
     some = _sized(materialize(runs.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct(), "holding"))
     cut = text.join(some, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")), "left_semi").dropDuplicates(["doc_id", "text_key"])
     cut = materialize(cut.select("doc_id", "text_key", F.expr(_hashes("text", k)).alias("h")), "holders")
-    windows = _windows(runs, cut, k).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "m", "start", "fits")
+    windows = _windows(runs, cut, k).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), "m", "start", "fits", "own")
     windows = cut.join(windows, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")))
-    windows = windows.select("doc_id", "text_key", "m", "start", F.expr("slice(h, CAST(start AS INT) + 1, fits)").alias("hashes"))
+    windows = windows.select("doc_id", "text_key", "m", "start", "own", F.expr("slice(h, CAST(start AS INT) + 1, fits)").alias("hashes"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = materialize(windows.repartition(n).select("*", F.expr(fingerprint_sql("hashes")).alias("fp")), "windows")
 
-    # Fingerprints and keys meet by blocks; the arrays of hashes are fetched for the pairs within the radius only.
-    index = materialize(keyed.select("item_key", "m", F.col("fp").alias("item_fp"), F.posexplode(_blocks("fp")).alias("block", "bits")).distinct(), "index")
-    probe = marked.select("doc_id", "text_key", "m", "start", "fp", F.posexplode(_blocks("fp")).alias("block", "bits"))
-    near = probe.join(_sized(index), ["m", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    # a pair is met in each block that it shares: only the first one's row goes on
-    first = " AND ".join(f"(block <= {b} OR a[{b}] <> c[{b}])" for b in range(RADIUS))
-    near = near.withColumns({"a": _blocks("fp"), "c": _blocks("item_fp")}).where(first).select("doc_id", "text_key", "m", "start", "item_key")
-    items = keyed.select("item_key", "item_id", F.col("hashes").alias("item_hashes")).distinct()
+    near = _near(marked, keyed).join(keyed.select("item_key", "item_id", F.col("hashes").alias("item_hashes")).distinct(), "item_key")
     own = [F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("m").alias("m_"), F.col("start").alias("start_"), "hashes"]
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")) & (F.col("m") == F.col("m_")) & (F.col("start") == F.col("start_"))
-    pairs = near.join(items, "item_key").join(marked.select(*own), same)
-    shared = pairs.withColumn("both", F.expr(common_sql("hashes", "item_hashes")))
+    shared = near.join(marked.select(*own), same).withColumn("both", F.expr(common_sql("hashes", "item_hashes")))
     union = F.size("hashes") + F.size("item_hashes") - F.col("both")
     return shared.where(F.col("both") * down >= union * up).select("doc_id", "text_key", "item_id", (F.col("both") / union).alias("similarity"), F.col("start").cast("int").alias("start_word"), F.col("m").alias("n_words"))
 
 
+def _near(marked: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(doc_id, text_key, m, start, item_key): windows and the items that they may be similar to, by fingerprints; all similar ones are among them.
+
+    The arrays of hashes are fetched for these pairs only.
+    """
+    pair = ["doc_id", "text_key", "m", "start", "item_key"]
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    index = materialize(keyed.select("item_key", "m", "sure", F.col("fp").alias("item_fp"), F.posexplode(_blocks("fp")).alias("block", "bits")).distinct(), "index")
+    probe = marked.select("doc_id", "text_key", "m", "start", "fp", F.posexplode(_blocks("fp")).alias("block", "bits"))
+    near = probe.join(_sized(index), ["m", "block", "bits"]).where(F.bit_count(apart) <= RADIUS)
+    # a pair is met in each block that it shares: only the first one's row goes on
+    first = " AND ".join(f"(block <= {b} OR a[{b}] <> c[{b}])" for b in range(RADIUS))
+    near = near.withColumns({"a": _blocks("fp"), "c": _blocks("item_fp")}).where(first).select(*pair)
+    # beyond the radius: no block need be shared, but the sure bits are
+    far = marked.select("doc_id", "text_key", "start", "fp", F.explode("own").alias("item_key")).join(_sized(index.where("block = 0")), "item_key")
+    return near.unionByName(far.where((F.bit_count(apart) > RADIUS) & (apart.bitwiseAND(F.col("sure")) == 0)).select(*pair))
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): one row for each document and item it leaks."""
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("similarity"), F.desc("start_word"), "n_words")

@@ -3,7 +3,7 @@ import re
 import time
 from collections import Counter
 
-from shardmend.llm import decontaminate
+from shardmend.llm import decontaminate, stages
 
 
 def words(t):
@@ -97,3 +97,75 @@ def test_clean_keeps_clashing_columns(spark, docs_of):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     out = decontaminate.clean(docs, bench)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [2]
+
+
+def far_apart():
+    """Documents as similar as asked whose fingerprints are farther apart than the radius, at times: repetitive, or shorter than the item."""
+    rng = random.Random(3)
+    items = [(1, "a b a b a b a b a b a b a"), (2, "c d e c d e c d e c d e c d e c d")]
+    docs = [(1, "b a b a b a b a b a b a b"), (2, "x y z b a b a b a b a b a b a b q r s"), (3, "d e c d e c d e c d e c d e c d e"), (4, "x y z a b c d e"), (5, None)]
+    for k in range(10, 410):
+        w = [f"w{rng.randrange(100_000)}" for _ in range(9)]
+        items.append((k, " ".join(w)))
+        docs.append((k, " ".join(w[:8])))
+    return docs, items
+
+
+def test_similar_windows_with_distant_fingerprints(spark, docs_of, tmp_path):
+    docs, items = far_apart()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {r for d in docs for r in brute([d], [i for i in items if i[0] in (1, 2, d[0])])}
+    assert {(1, 1, 0.8, 0, 13), (10, 10, 0.8, 0, 9)} <= want and len(want) == 403
+    assert set(map(tuple, decontaminate.leaks(docs_of(docs), bench).collect())) == want
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = stages.drop_contaminated(spark, docs_of(docs), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5]
+
+
+def test_fingerprints_pick_the_pairs(spark, docs_of, monkeypatch):
+    """Windows go to the fingerprints whatever they hold; only pairs that these let through are compared, all similar ones among them."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(k, " ".join(word() for _ in range(60))) for k in range(20)]
+    other = lambda: " ".join(word() for _ in range(200))
+    docs = []
+    for k, p in items:
+        w = p.split()
+        docs.append((k, f"{other()} {' '.join(w[:30] + [word()] + w[31:])} {other()}"))
+        docs.append((100 + k, f" {other()} ".join(" ".join(w[n : n + 20]) for n in (0, 20, 40))))  # enough hits, in no one window
+    seen, near = [], decontaminate._near
+
+    def spy(marked, keyed):
+        out = near(marked, keyed)
+        if marked.count():
+            seen.append(({r.doc_id for r in marked.collect()}, [(r.doc_id, r.item_key) for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(decontaminate, "_near", spy)
+    got = set(map(tuple, decontaminate.leaks(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == brute(docs, items) and {(d, i) for d, i, *_ in got} == {(k, k) for k in range(20)}
+    ((cut, pairs),) = seen
+    assert cut == {d for d, _ in docs} and set(range(20)) <= {d for d, _ in pairs} and len(pairs) == len(set(pairs)) < 32
+
+
+def test_sure_bits(spark):
+    """No window of an item's size, or shorter, that is similar enough differs from it in a sure bit; and there are such bits."""
+    rng = random.Random(9)
+    h = lambda: rng.getrandbits(64) - (1 << 63)
+    rows = []
+    for b in [1, 2, 4, 5, 9, 10, 18, 41, 56]:
+        for _ in range(40):
+            pool = [h() for _ in range(min(b, rng.choice((1, 2, b, b))))]
+            item = [rng.choice(pool) for _ in range(b)] if len(pool) < b else pool
+            kept = rng.randint((4 * b + 4) // 5, b)
+            size = rng.randint(kept, b)
+            window = rng.sample(item, kept) + [rng.choice([h(), rng.choice(item)]) for _ in range(size - kept)]
+            common = sum((Counter(item) & Counter(window)).values())
+            if common * 5 >= 4 * (b + len(window) - common):
+                rows.append((item, window))
+    df = spark.createDataFrame(rows, "i array<bigint>, w array<bigint>")
+    fp, sure = decontaminate.fingerprint_sql, decontaminate.sure_sql
+    got = df.selectExpr("size(i) n", f"{sure('i')} sure", f"({fp('i')} ^ {fp('w')}) apart").collect()
+    assert len(got) > 150 and all(r.sure & r.apart == 0 for r in got)
+    assert all(r.sure == -1 for r in got if r.n < 5) and sum(r.sure != 0 for r in got) > len(got) / 2
+    assert max((r.apart & (1 << 64) - 1).bit_count() for r in got) > decontaminate.RADIUS
