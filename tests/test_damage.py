@@ -43,3 +43,18 @@ def test_one_byte_changes(spark):
         d = bytearray(data)
         queries._change(d, bytesio.parse_zip(data).local[0])
         assert sum(a != b for a, b in zip(data, d, strict=True)) == 1
+
+
+def test_each_changed_payload_is_a_finding(spark, repeats):
+    got = {(r.file_id, r.rule_id): r.n for r in queries.zip_damage_findings(spark, repeats).collect()}
+    assert got == {(1, "ZIP_CRC_001"): 3}
+
+
+def test_each_changed_payload_counts_in_the_report(spark, repeats, tmp_path):
+    import duckdb
+    from shardmend.plans.oracle import SQL
+
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(f"SELECT file_id, overall FROM ({SQL['triage_report']})").fetchall()
+    assert [(r.file_id, r.overall) for r in queries.triage_report(spark, repeats).collect()] == want
