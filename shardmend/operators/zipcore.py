@@ -117,30 +117,37 @@ def conflicts(central: DataFrame, local: DataFrame) -> DataFrame:
 def reconcile(central: DataFrame, local: DataFrame) -> DataFrame:
     """central and the local headers that no record explains: kept if they lie in no claimed payload.
 
-    A header is the same as a record at its offset. Ranges claimed by the directory reject scanned
-    headers inside them (a join per file); scanned headers then claim in order, a fold of one file.
+    A header is the same as a record at its offset. Ranges claimed by the directory reject scanned headers
+    that they overlap: of the claims that begin before a header's end, the one that reaches farthest tells (a running
+    maximum). Scanned headers then claim in order, a fold of one file, for files in which any two of them overlap.
     """
-    span = lambda df: df.withColumns({"_from": F.col("local_header_offset"), "_to": F.coalesce(F.col("data_offset") + F.col("compressed_size"), F.col("local_header_offset") + 30)})
     heads = local.select(F.col("file_id").alias("_f"), F.col("local_header_offset").alias("_at"), F.col("data_offset").alias("_data"))
-    claimed = central.join(heads, (F.col("file_id") == F.col("_f")) & (F.col("local_header_offset") == F.col("_at"))).drop("_f")
-    claimed = claimed.groupBy("file_id").agg(F.collect_list(F.struct(F.col("local_header_offset").alias("a"), (F.col("_data") + F.col("compressed_size")).alias("z"))).alias("claims"))
-    lost = local.join(central.select("file_id", "local_header_offset").distinct(), ["file_id", "local_header_offset"], "left_anti")
-    lost = span(lost).join(claimed, "file_id", "left")
+    claimed = central.join(heads, (F.col("file_id") == F.col("_f")) & (F.col("local_header_offset") == F.col("_at")))
+    claimed = claimed.select("file_id", F.col("local_header_offset").alias("_key"), (F.col("_data") + F.col("compressed_size")).alias("_claim"))
+    lost = local.join(central.select("file_id", "local_header_offset").distinct(), ["file_id", "local_header_offset"], "left_anti").select(*local.columns)
+    to = F.coalesce(F.col("data_offset") + F.col("compressed_size"), F.col("local_header_offset") + 30)
+    lost = lost.withColumns({"_from": F.col("local_header_offset"), "_to": to, "_key": to, "_lost": F.lit(True)})
+    rows = lost.unionByName(claimed.withColumn("_lost", F.lit(False)), allowMissingColumns=True)
+    # a claim that begins where a header ends does not overlap it, so the header comes first
+    of_file = Window.partitionBy("file_id")
+    reach = F.max("_claim").over(of_file.orderBy("_key", F.desc("_lost")).rowsBetween(Window.unboundedPreceding, 0))
+    free = rows.withColumn("_reach", reach).where(F.col("_lost") & (F.col("_reach").isNull() | (F.col("_reach") <= F.col("_from"))))
+    before = F.max("_to").over(of_file.orderBy("_from", "name").rowsBetween(Window.unboundedPreceding, -1))
+    free = free.withColumn("_meets", F.coalesce(before > F.col("_from"), F.lit(False))).withColumn("_fold", F.max("_meets").over(of_file))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = sorted((c["a"], c["z"]) for c in pdf.claims.iloc[0]) if pdf.claims.iloc[0] is not None else []
-        keep = []
+        keep, end = [], None
         pdf = pdf.sort_values(["_from", "name"])
         for at, to in zip(pdf["_from"], pdf["_to"], strict=True):
-            ok = not any(a < to and at < z for a, z in held)
+            ok = end is None or end <= at
             keep.append(ok)
             if ok:
-                held.append((at, to))
-        return pdf[keep].drop(columns=["_from", "_to", "claims"])
+                end = to
+        return pdf[keep].drop(columns=["_from", "_to"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in local.schema)
-    extra = lost.groupBy("file_id").applyInPandas(fold, types)
-    return central.unionByName(extra)
+    folded = free.where("_fold").select(*local.columns, "_from", "_to").groupBy("file_id").applyInPandas(fold, types)
+    return central.unionByName(free.where("NOT _fold").select(*local.columns)).unionByName(folded)
 
 
 def surviving_directories(files: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from shardmend.functions import bytesio, scratch
-from shardmend.operators import detect
+from shardmend.operators import detect, zipcore
 from shardmend.plans import queries
 
 
@@ -68,3 +68,37 @@ def test_files_are_built_in_bounded_batches(spark, repeats, query):
     spark.conf.unset(size)
     query(spark, repeats)
     assert (int(spark.conf.get(rows)), int(spark.conf.get(size))) == (scratch.BATCH_ROWS, scratch.BATCH_BYTES)
+
+
+def test_archives_are_parsed_once_and_claims_join_no_rows(spark, repeats):
+    """Every reading of the entries built, packed and parsed the archives again; each lost header carried all claims of its file."""
+    for query in (queries.zip_lost_headers, queries.zip_conflicts, queries.zip_shifted_map):
+        plan = query(spark, repeats)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "collect_list" not in plan
+
+
+def test_reconcile_equals_a_fold_over_all_ranges(spark):
+    """Random claims and headers, each pair compared."""
+    r, central, local, want = random.Random(5), [], [], {}
+    entry = lambda f, source, n, at, size: (f, source, n, at, at, b"n", f"n{n}", True, 0, 0, 1, size, size, at + 35 if source == "local" else None, False, False)
+    for k in range(60):
+        f, at, held = str(k), sorted(r.sample(range(0, 1200, 10), 12)), []
+        for n, a in enumerate(at):
+            size = r.choice((0, 5, 25, 65, 95))
+            local.append(entry(f, "local", n, a, size))
+            if r.random() < 0.5 and k % 7:
+                central.append(entry(f, "central", n, a, size))
+                held.append((a, a + 35 + size))
+        kept = {c[4] for c in central if c[0] == f}
+        for row in (x for x in local if x[0] == f and x[4] not in set(kept)):
+            a, z = row[4], row[13] + row[11]
+            if not any(p < z and a < q for p, q in held):
+                held.append((a, z))
+                kept.add(a)
+        want[f] = sorted(kept)
+    got = zipcore.reconcile(spark.createDataFrame(central, zipcore.ENTRY), spark.createDataFrame(local, zipcore.ENTRY))
+    assert got.columns == [c.split()[0] for c in zipcore.ENTRY.split(", ")]
+    found = {}
+    for row in got.collect():
+        found.setdefault(row.file_id, []).append(row.local_header_offset)
+    assert {f: sorted(x) for f, x in found.items()} == want
