@@ -216,23 +216,33 @@ def forced(files: DataFrame, strategy: str) -> DataFrame:
 BROADCAST_ROWS = 300_000
 
 
-def staged(files: DataFrame, selected: DataFrame) -> DataFrame:
-    """selected with the output bytes of each strategy, always of the original bytes; null where it abstains.
+def outputs(rows: DataFrame) -> DataFrame:
+    """Output bytes of each strategy of files (file_id, name, content, engine_format, strategies: an array of structs with `strategy`), null where it abstains: no join, one reading of the bytes.
 
-    A file's strategies are joined as one list, so that its bytes are read once, and cross no network where the list is short.
+    The structs' other fields come along as columns.
     """
-    lists = selected.groupBy("file_id").agg(F.sort_array(F.collect_list("strategy")).alias("strategies"))
-    short = selected.count() <= BROADCAST_ROWS
-    hinted = F.broadcast if short else lambda df: df
-    rows = files.select("file_id", "name", "content", "engine_format").join(hinted(lists), "file_id")
+    fields = rows.schema["strategies"].dataType.elementType.fields
+    others = [f.name for f in fields if f.name != "strategy"]
 
     def run(r) -> Iterator[tuple]:
-        for name in r.strategies:
-            got = APPLY[name](r.content or b"")
-            yield name, None if got is None else got[0], got is not None and got[1]
+        for s in r.strategies:
+            got = APPLY[s["strategy"]](r.content or b"")
+            yield s["strategy"], None if got is None else got[0], got is not None and got[1], *[s[c] for c in others]
+
+    types = ["file_id string", "strategy string", "staged binary", "did boolean", *[f"{f.name} {f.dataType.simpleString()}" for f in fields if f.name != "strategy"]]
+    return _per_file(rows, ", ".join(types), run, ("file_id", "name", "content", "engine_format", "strategies"))
+
 
-    made = _per_file(rows, "file_id string, strategy string, staged binary, did boolean", run, ("file_id", "name", "content", "engine_format", "strategies"))
-    return made.join(hinted(selected), ["file_id", "strategy"])
+def staged(files: DataFrame, selected: DataFrame) -> DataFrame:
+    """selected with the output bytes of each strategy, always of the original bytes; null where it abstains.
+
+    A file's strategies are joined as one list with all that is known of them, so that its bytes are read once, outputs join nothing, and
+    bytes cross no network where the list is short. Where it is long, they cross it once, and are hashed against the list, not sorted.
+    """
+    lists = selected.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("strategy", *[c for c in selected.columns if c not in ("file_id", "strategy")]))).alias("strategies"))
+    short = selected.count() <= BROADCAST_ROWS
+    lists = F.broadcast(lists) if short else lists.hint("shuffle_hash")
+    return outputs(files.select("file_id", "name", "content", "engine_format").join(lists, "file_id"))
 
 
 def keep_gate(rows: DataFrame) -> DataFrame:

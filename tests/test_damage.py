@@ -4,7 +4,7 @@ import random
 
 import pytest
 from shardmend.functions import bytesio, scratch
-from shardmend.operators import detect, zipcore
+from shardmend.operators import detect, recover, zipcore
 from shardmend.plans import queries
 
 
@@ -102,3 +102,22 @@ def test_reconcile_equals_a_fold_over_all_ranges(spark):
     for row in got.collect():
         found.setdefault(row.file_id, []).append(row.local_header_offset)
     assert {f: sorted(x) for f, x in found.items()} == want
+
+
+def test_bytes_of_repairs_join_nothing(spark, repeats):
+    plan = queries.strategy_outputs(spark, repeats)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_staged_of_a_long_list_joins_bytes_once_and_unsorted(spark, monkeypatch):
+    whole = bytesio.build_tar([("a", b"text")])
+    files = spark.createDataFrame([("1", "x.tar", whole[:-1024], "tar"), ("2", "x.gz", b"xx" + bytesio.build_gzip(b"text")[2:], "gzip"), ("3", "x", b"?", "raw")], "file_id string, name string, content binary, engine_format string")
+    chosen = spark.createDataFrame([("1", "tar-terminator-append", 1, True), ("1", "tar-checksum-fix", 2, None), ("2", "gz-magic-restore", 1, False)], "file_id string, strategy string, pass int, terminal boolean")
+    want = [("1", "tar-checksum-fix", None, False, 2, None), ("1", "tar-terminator-append", whole, True, 1, True), ("2", "gz-magic-restore", bytesio.build_gzip(b"text"), True, 1, False)]
+    for bound in (recover.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(recover, "BROADCAST_ROWS", bound)
+        df = recover.staged(files, chosen)
+        assert sorted((r.file_id, r.strategy, r.staged and bytes(r.staged), r.did, r["pass"], r.terminal) for r in df.collect()) == want
+        assert df.columns == ["file_id", "strategy", "staged", "did", "pass", "terminal"]
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan
